@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, warc
+from . import media, mixing, packing, simhash, substrings, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return seen.select("doc_id", simhash.hex_fingerprint(seen["fp"]).alias("fingerprint"), "component_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(warc.dedup_plan(table(spark, sf_dir, "pages")))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -28,6 +33,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").selectExpr(
@@ -40,8 +49,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op7_mixing": op7_mixing,
+    "op8_substrings": op8_substrings,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
