@@ -50,6 +50,20 @@ def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: str = "_key") -> DataFrame:
+    """``docs`` with a unique long ``key``, in the order of ids.
+
+    That is the id itself; only where ids repeat or lack, the rows are written
+    with a number in the order of (id, text), nulls first.
+    """
+    n, known, ids = docs.agg(F.count("*"), F.count(doc_id), F.countDistinct(doc_id)).first()
+    if n == known == ids:
+        return docs.withColumn(key, F.col(doc_id).cast("long"))
+    by = [F.col(doc_id).asc_nulls_first(), F.col(text).asc_nulls_first()]
+    ordered = docs.repartitionByRange(*by).sortWithinPartitions(*by)
+    return stored(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of long texts small enough for a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

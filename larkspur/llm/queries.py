@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, mixing, packing, simhash, substrings, warc
+from . import html, lines, media, mixing, packing, simhash, substrings, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return seen.select("doc_id", simhash.hex_fingerprint(seen["fp"]).alias("fingerprint"), "component_id")
@@ -49,6 +59,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html": op1_html,
+    "op2_lines": op2_lines,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op7_mixing": op7_mixing,
@@ -60,6 +72,25 @@ QUERIES: dict[str, Query] = {
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES: dict[str, str] = {
+    "op2_lines": """
+        WITH d AS (
+            SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+        l AS (
+            SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM d),
+        r AS (
+            SELECT *, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2, lead(line, 3) OVER o AS l3
+            FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+        n AS (
+            SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth,
+                   row_number() OVER (PARTITION BY line, l1, l2, l3 ORDER BY doc_id, pos) AS nth4 FROM r),
+        g AS (
+            SELECT doc_id, pos FROM n WHERE nth > 1 AND length(line) >= 20
+            UNION SELECT doc_id, unnest(range(pos, pos + 4)) FROM n WHERE nth4 > 1 AND l3 IS NOT NULL),
+        k AS (
+            SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos)
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+        FROM k GROUP BY doc_id""",
     "op4_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h FROM pages),

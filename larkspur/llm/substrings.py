@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix64, small_batches, stored
+from .common import WordHasher, keyed, mix64, small_batches, stored
 
 #: Up to this many ids are broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -71,17 +71,6 @@ def samples(words: np.ndarray, length: int) -> np.ndarray:
     return slide(np.minimum, windows(words, half), length - half + 1)
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(key, doc_id, text): the id, or where ids repeat or lack, a number in the order of (id, text)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n, known, ids = rows.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if n == known == ids:
-        return rows.withColumn("key", F.col("doc_id"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return stored(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
-
-
 def _without(rows: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "key", how)
 
@@ -217,7 +206,8 @@ def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_
     order of (id, text).
     """
     small_batches(docs.sparkSession)
-    rows = _keyed(docs, text, doc_id)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = keyed(rows, "text", "doc_id", "key")
     digests = stored(rows.select("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "digests")
     groups = digests.groupBy("digest").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
     copies = digests.join(groups, "digest").where("key <> lead").select("key")
