@@ -117,8 +117,8 @@ class WordHasher:
 
     SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of the words of ``data``."""
+    def words(self, data: bytes, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of the words of ``data``, or of their first ``prefix`` bytes."""
         raw = np.frombuffer(data, np.uint8)
         n = len(raw)
         edge = np.ones(n + 2, bool)
@@ -128,6 +128,8 @@ class WordHasher:
         if not len(start):
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(0, np.uint64)
+        if prefix:
+            end = np.minimum(end, start + prefix)
         self._powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.digit[raw] * self.up[:n], out=total[1:])

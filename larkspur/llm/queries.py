@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, media, mixing, packing, simhash, substrings, warc
+from . import html, lines, media, mixing, packing, simhash, substrings, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_column(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
@@ -63,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_lines": op2_lines,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_substrings": op8_substrings,
     "op9_packing": op9_packing,
