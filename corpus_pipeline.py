@@ -1,14 +1,41 @@
-"""A training-data pipeline over ``documents``: five stages, each one operator."""
+"""A training-data pipeline over ``documents``: five stages, each one operator.
+
+Every stage works on all rows its predecessor kept and all but the last return
+the columns of ``documents``.  Importing this module needs ``larkspur.llm``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, packing
-from larkspur.llm.common import stored
+from larkspur.llm import lines, mixing, packing, simhash, toxicity
+from larkspur.llm.common import stored, table
 from larkspur.llm.queries import tokenizer_path
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on ``labels``, scores below 0.5; null texts count as empty."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, freed of later copies of long lines and of runs of lines; n_chars follows the text."""
+    out = lines.remove_repeated_lines(docs).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by SimHash over five-word shingles."""
+    return simhash.keep_one(docs, width=5, radius=NEAR_BITS)
+
+
+#: Differing bits of 64 up to which two documents are near copies.
+NEAR_BITS = 3
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target asks for."""
     return mixing.mix(docs)
@@ -20,17 +47,20 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", remove_lines),
+    ("SimHash near-dedup", keep_distinct),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
 
-#: The classifier's stage can't be expressed in SQL; the tests hold stages against brute force.
+#: SQL can't express the classifier's stage; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
