@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, media, mixing, packing, simhash, substrings, toxicity, warc
+from . import embeddings, html, lines, media, mixing, packing, simhash, substrings, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_column(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op2_lines": op2_lines,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
+    "op5_embeddings": op5_embeddings,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_substrings": op8_substrings,
