@@ -28,12 +28,8 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by SimHash over five-word shingles."""
-    return simhash.keep_one(docs, width=5, radius=NEAR_BITS)
-
-
-#: Differing bits of 64 up to which two documents are near copies.
-NEAR_BITS = 3
+    """One document of each group of near copies: 0.8 or more of their five-word shingles alike, by SimHash."""
+    return simhash.keep_one(docs, seen=simhash.near_copies(docs, width=5, similarity=0.8))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

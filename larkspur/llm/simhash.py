@@ -19,23 +19,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import mix64, small_batches, stored
 from .components import connected_components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = np.arange(8) * 256
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """A text's 64-bit SimHash over word shingles, repeats included.
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included.
 
     A-Z are lower-cased and words are parted by ASCII white space; fewer words
-    than ``width`` are one shingle, and no words give 0.  A bit is 1 if set in
-    over half the shingles' XXH64 values.
+    than ``width`` are one shingle, and no words give none.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     if len(words) <= width:
         hashes = [xxhash.xxh64_intdigest(flat, seed)]
@@ -44,11 +43,21 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         starts = np.concatenate([[0], ends[: -width]])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(flat[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
-    data = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+    return np.array(hashes, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; 0 without any."""
+    data = hashes.view(np.uint8).reshape(-1, 8)
     ones = (np.bincount((data + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """A text's 64-bit SimHash."""
+    return majority(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; ``fp`` has the fingerprint's bits as a signed long."""
     small_batches(docs.sparkSession)
@@ -162,13 +171,160 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id.
+# Similarity ---------------------------------------------------------------
+#
+# A share of common shingles is a distance too long for exact search in 64
+# bits: at a Jaccard similarity of 0.8 about 0.15 of all bits differ.  So the
+# same index is used with longer fingerprints and more segments, as many as a
+# pair at that distance needs to agree in one of them with the wanted recall.
+
+#: 64-bit words of a long fingerprint.
+LONG = 4
+_WORDS = tuple(f"f{k}" for k in range(LONG))
+
 
-    Only ids are joined, so texts move once.  Rows that share the kept id with
-    other texts stay; a group without any id stays whole.
+def bit_distance(similarity: float) -> float:
+    """Share of SimHash bits that differ between texts of a Jaccard similarity and one length."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def long_fingerprints(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+    """(doc_id, f0, ...): independent SimHashes of the same shingles."""
+    small_batches(docs.sparkSession)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, LONG), np.uint64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                hashes = shingle_hashes(t, width)
+                for k in range(LONG if len(hashes) else 0):
+                    out[i, k] = majority(mix64(hashes + np.uint64(k)))
+            columns = [pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(LONG)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *_WORDS])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(hashed, "doc_id long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+def segments(n: int, distance: float, recall: float) -> list[np.ndarray]:
+    """Bit positions of each table's segment.
+
+    A segment has as many bits as keep the fingerprints of unlike texts about
+    one to a bucket, so candidates stay in proportion to ``n``.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))), 16, 48))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - distance) ** bits)))
+    rng = np.random.default_rng(bits)
+    return [np.sort(rng.choice(64 * LONG, bits, replace=False)) for _ in range(tables)]
+
+
+def _dealt(nodes: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(key, node, f0, ...): each fingerprint once per table, by its segment there."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.stack([batch.column(1 + k).to_numpy() for k in range(LONG)], 1)
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+            for t, at in enumerate(tables):
+                value = bits[:, at].astype(np.uint64) @ (np.uint64(1) << np.arange(len(at), dtype=np.uint64))
+                key = mix64(value ^ (np.uint64(t) << np.uint64(50))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "node", *_WORDS])
+
+    return nodes.select("node", *_WORDS).mapInArrow(deal, "key long, node long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+def forest(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Edges that join what the links (p, q) join, at most one for each of ``n`` rows."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, p, root[q])
+        np.minimum.at(low, q, root[p])
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            at = np.flatnonzero(root != np.arange(n))
+            return np.stack([at, root[at]], 1)
+        root = low
+
+
+def _verified(dealt: DataFrame, most: int, block: int) -> DataFrame:
+    """(a, b): edges that join the fingerprints of a bucket that are at most ``most`` bits apart.
+
+    A bucket above ``block`` rows is compared in blocks, dealt by a hash that
+    every table draws anew, with its smallest node in each; so its work grows
+    with its rows and not with their pairs, and no task holds all of it.
+    """
+    names = ["a", "b"]
+
+    def verify(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        live = np.arange(len(key))
+        found_p, found_q = [], []
+        step = 1
+        while len(live):
+            live = live[live + step < len(key)]
+            live = live[key[live] == key[live + step]]
+            apart = np.bitwise_count(words[live] ^ words[live + step]).sum(axis=1)
+            near = live[apart <= most]
+            found_p.append(near)
+            found_q.append(near + step)
+            step += 1
+        p, q = np.concatenate(found_p or [live]), np.concatenate(found_q or [live])
+        edges = forest(p, q, len(key)) if len(p) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            now = (key, batch.column(1).to_numpy(), np.stack([batch.column(2 + k).to_numpy() for k in range(LONG)], 1).view(np.uint64))
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
+            if cut:
+                yield verify(*(x[:cut] for x in now))
+            held = tuple(x[cut:] for x in now)
+        if held is not None and len(held[0]):
+            yield verify(*held)
+
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where(F.col("n") > block)
+    sizes = stored(sizes, "large-buckets")
+    met = dealt.join(sizes, "key", "left")
+    blocks = F.ceil(F.col("n") / block)
+    mine = F.pmod(F.xxhash64("key", "node"), blocks)
+    every = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(mine))
+    met = met.withColumn("_block", F.explode(F.coalesce(every, F.array(F.lit(0).cast("long")))))
+    met = met.select(F.xxhash64("key", "_block").alias("key"), "node", *_WORDS)
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, recall: float = 0.97, block: int = 256) -> DataFrame:
+    """(doc_id, component_id) of every row: texts that share ``similarity`` of their shingles.
+
+    Similarity is estimated from 256 bits.  A pair is linked up to one standard
+    error (about 6 bits) beyond the similarity's distance, so most of those just
+    above it are found, and some of those just below; ``recall`` is the chance
+    that a pair just at the similarity is compared, which nearer ones exceed.
+    Texts without words are one another's copies.
+    """
+    prints = stored(long_fingerprints(docs, text, doc_id, width), "long-prints")
+    nodes = stored(prints.where("doc_id IS NOT NULL").groupBy(*_WORDS).agg(F.min("doc_id").alias("node")), "long-nodes")
+    distance = bit_distance(similarity)
+    tables = segments(nodes.count(), distance, recall)
+    most = 64 * LONG * distance + np.sqrt(64 * LONG * distance * (1 - distance))
+    edges = stored(_verified(stored(_dealt(nodes, tables), "segments"), int(most), block), "near-edges")
+    components = connected_components(edges)
+    joined = nodes.join(components, "node", "left").select(*_WORDS, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(joined, list(_WORDS), "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seen: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one document of each group of ``seen``: that with the smallest id.
+
+    ``seen`` has (doc_id, component_id), by default those of
+    :func:`near_duplicates`.  Only ids are compared, so texts move once.  Rows
+    that share the kept id stay together; rows without an id stay.
     """
-    seen = near_duplicates(docs, text, doc_id, **options)
-    gone = seen.where(F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id"))))
-    gone = gone.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
+    seen = near_duplicates(docs, text, doc_id) if seen is None else seen
+    gone = seen.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
+    gone = stored(gone.distinct(), "gone").hint("merge")
     return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
