@@ -92,7 +92,8 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "do
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_key", "mask_key", "removed", "mask")]
     rows = keyed(docs.select(*columns), text, doc_id)
     masks = stored(removal_masks(rows, text, "_key", min_lines, min_chars), "masks")
-    out = rows.join(masks, rows["_key"] == masks["mask_key"], "left")
+    # Merged at every size: a plan that broadcasts masks while they are few would not be the one that runs on many.
+    out = rows.join(masks.hint("merge"), rows["_key"] == masks["mask_key"], "left")
     out = out.withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1))
     left = F.filter("_lines", lambda line, i: F.coalesce(F.substring(F.col("mask"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True)))
     kept = F.when(F.col("mask").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
