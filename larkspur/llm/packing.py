@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,9 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
+#: Ranks within a length that share a lookup of their slots.
+BLOCK = 64
 _ENCODERS: dict = {}
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers (about 200 MB).
+REMEMBERED = 1_000_000
+#: A character that is a token of its own, set between words that are encoded together.
+MARK = b"\x01"
+_WORD_END = re.compile(r"(?<=[a-zà-öø-ÿ])[.,](?=[ \t\n\r\f\v]|\Z)")
 
 
 class _Encoder:
@@ -30,26 +36,56 @@ class _Encoder:
 
     Its normaliser and splitter work within runs of other characters, so a
     text's ids are those of its words one after another; words seen before are
-    not encoded again.
+    not encoded again.  New words are encoded together with a mark after each,
+    and their ids are cut at the mark's.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self._ids(MARK.decode())
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd = [w for w in words if MARK in w] if len(self.mark) == 1 else words
+        if odd:
+            self.known.update((w, self._ids(w.decode()).tobytes()) for w in odd)
+            words = list(set(words).difference(odd))
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = self._ids((b" " + MARK + b" ").join([*some, b""]).decode())
+            ends = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[a + 4 : b] for a, b in zip([-4, *ends[:-1]], ends, strict=True)], strict=True))
+
+    @staticmethod
+    def _split(text: str) -> list[bytes]:
+        """A text's words; in plain Latin texts, spellings that the tokenizer takes alike are one.
+
+        Its normaliser lower-cases, and it parts a letter from a full stop or
+        comma that ends a word.  Texts of other letters, and special tokens,
+        which it looks for before, stay as they are.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.encode().split()
+        if "<|" in text:
+            return text.encode().split()
+        return _WORD_END.sub(r" \g<0>", text.lower()).encode().split()
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [t.encode().split() for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
+        split = [self._split(t) for t in texts]
+        new = set().union(*split) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, coded in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(coded.ids, "<u4").tobytes()
+            new = set().union(*split)
+        self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -154,18 +190,18 @@ def pack(pieces: DataFrame, capacity: int = 2048, salts: int | None = None) -> D
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "row", "piece")
     ranked = pieces.withColumn("_own", F.row_number().over(own) - 1).join(counts, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_own") + F.col("_before"))
-    slots: dict[int, list] = {}
-    for length, rank, count, first, offset in plan(histogram, capacity):
-        slots.setdefault(length, []).append((rank, count, first, offset))
-    schema = "length long, slots array<struct<rank:long,count:long,first:long,offset:long>>"
-    # One row per length: as bounded as the histogram.
-    planned = F.broadcast(spark.createDataFrame(list(slots.items()), schema))
-    slot = F.expr("slots[array_position(transform(slots, s -> s.rank <= _rank AND _rank < s.rank + s.count), true) - 1]")
-    out = ranked.join(planned, "length").withColumn("_slot", slot)
-    return out.select(
+    columns = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)
+    names = ["length", "_from", "_many", "_first", "_offset"]
+    planned = spark.createDataFrame(pa.table(dict(zip(names, columns.T, strict=True))))
+    # A piece finds its range by length and block of ranks, so no plan is broadcast.
+    blocks = F.sequence(F.expr(f"_from div {BLOCK}"), F.expr(f"(_from + _many - 1) div {BLOCK}"))
+    planned = planned.withColumn("_block", F.explode(blocks))
+    found = ranked.withColumn("_block", F.expr(f"_rank div {BLOCK}")).join(planned, ["length", "_block"])
+    found = found.where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_many")))
+    return found.select(
         *[c for c in pieces.columns if c != "_salt"],
-        (F.col("_slot.first") + F.col("_rank") - F.col("_slot.rank")).alias("sequence_id"),
-        F.col("_slot.offset").alias("offset"),
+        (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"),
+        F.col("_offset").alias("offset"),
     )
 
 
