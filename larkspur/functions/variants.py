@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def is_number(value: Column) -> Column:
 def is_integer(value: Column) -> Column:
     """Whole numbers as written: BIGINT, or beyond it an unsigned 64-bit number."""
     k = kind(value)
-    wide = k.rlike(r"^DECIMAL\((19|20),0\)$") & (as_type(value, "decimal(20,0)") > F.lit(2**63 - 1).cast("decimal(20,0)"))
+    wide = k.rlike(r"^DECIMAL\((19|20),0\)$") & (as_type(value, "decimal(20,0)") > F.lit(Decimal(2**63 - 1)))
     return (k == "BIGINT") | F.coalesce(wide, F.lit(False))
 
 

@@ -8,7 +8,7 @@ pointers that are still open.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -191,14 +191,18 @@ def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude:
     return edit_documents(met, "doc", edit, "_hits", "_own").select(*df.columns)
 
 
-def attach_virtual(df: DataFrame, collection: str, rule: Relationship, children: DataFrame) -> DataFrame:
-    """Documents with a 1:M field: the children whose ``mapped_by`` is the parent's pointer, in stored order."""
+def attach_virtual(df: DataFrame, collection: str, rule: Relationship, children: DataFrame, shown: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Documents with a 1:M field: the children whose ``mapped_by`` is the parent's pointer, in stored order.
+
+    ``shown`` leaves out of the children what readers don't see, such as the back-link itself.
+    """
     from larkspur.functions import variants as V
 
     value = V.get(F.col("doc"), rule.mapped_by.split("."))
     parent = F.when(V.kind(value) == "STRING", V.as_type(value, "string"))
     key = F.when(P.pointer_collection(parent) == F.lit(collection), P.pointer_key(parent))
-    lists = children.select(key.alias("_row"), F.struct("_seq", F.to_json("doc").alias("t")).alias("s")).where("_row IS NOT NULL")
+    mine = shown(children.withColumn("_row", key).where("_row IS NOT NULL"))
+    lists = mine.select("_row", F.struct("_seq", F.to_json("doc").alias("t")).alias("s"))
     lists = lists.groupBy("_row").agg(F.to_json(F.array_sort(F.collect_list("s")).getField("t")).alias("_kids"))
     met = df.join(lists, df["_id"] == F.col("_row"), "left")
 

@@ -152,5 +152,5 @@ def decompose(record: dict, drawer: str, metas: dict[str, dict], namespace: str
                 raise InvalidInput(f"{path} must point into {rule['target_drawer']}, not {found[0]}")
         return value
 
-    own_fields = {k: v for k, v in record.items() if k != "_id"}
-    return [*children, (drawer, {"_id": record["_id"], **walk(own_fields, "", top=True)})]
+    body = walk({k: v for k, v in record.items() if k != "_id"}, "", top=True)
+    return [*children, (drawer, {"_id": record["_id"], **body})]

@@ -9,6 +9,7 @@ predicate on a missing path is false, whatever it says.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -39,6 +40,13 @@ def wildcard(value: Column, pattern: str) -> Column:
     return F.like(value, F.lit(escaped), F.lit("^"))
 
 
+def number(value: int | float) -> Column:
+    """A literal; whole numbers beyond 64 bits are decimals."""
+    if isinstance(value, int) and not -(2**63) <= value < 2**63:
+        return F.lit(Decimal(value)) if abs(value) < 10**38 else F.lit(float(value))
+    return F.lit(value)
+
+
 def _kind(value: Any) -> str:
     if value is None:
         return "null"
@@ -79,7 +87,7 @@ class Typed:
         return self.col
 
     def exact_number(self, value: int | float) -> Column:
-        return self.col == F.lit(value)
+        return self.col == number(value)
 
     def child(self, name: str) -> Typed | None:
         if isinstance(self.type, T.StructType) and name in self.type.names:
@@ -117,7 +125,7 @@ class Document:
 
     def exact_number(self, value: int | float) -> Column:
         if isinstance(value, int):
-            return V.is_integer(self.value) & (V.as_type(self.value, "decimal(20,0)") == F.lit(value).cast("decimal(20,0)"))
+            return V.is_integer(self.value) & (V.as_type(self.value, "decimal(20,0)") == number(value))
         return ~V.is_integer(self.value) & (V.as_type(self.value, "double") == F.lit(value))
 
     def child(self, name: str) -> Document:
@@ -143,6 +151,11 @@ class Compiler:
         self.pointers, self.targets = set(pointers), targets or {}
 
     def compile(self, query: dict) -> Column:
+        """True or false for every row."""
+        return F.coalesce(self.condition(query), F.lit(False))
+
+    def condition(self, query: dict) -> Column:
+        """The same with null for false here and there: what a filter needs, in a form that scans take."""
         validate(query)
         return _all(self._field(name, value) for name, value in query.items())
 
@@ -164,7 +177,7 @@ class Compiler:
         actual = self.resolve(path)
         if actual is None:
             return F.lit(False)
-        return F.coalesce(actual.present() & self._matches(path, actual, expected), F.lit(False))
+        return actual.present() & self._matches(path, actual, expected)
 
     def _target(self, path: str) -> str:
         if path == "_id":
@@ -213,7 +226,7 @@ class Compiler:
         if kind in ("array", "object") or not self._can(actual, kind):
             return F.lit(False)
         value = actual.scalar(kind)
-        wanted = F.lit(float(expected)) if kind == "number" and isinstance(actual, Document) else F.lit(expected)
+        wanted = F.lit(float(expected)) if kind == "number" and isinstance(actual, Document) else number(expected) if kind == "number" else F.lit(expected)
         by = {"$eq": value == wanted, "$gt": value > wanted, "$gte": value >= wanted, "$lt": value < wanted, "$lte": value <= wanted}
         return actual.is_kind(kind) & by[op]
 
@@ -221,6 +234,8 @@ class Compiler:
         if op == "$in":
             return self._in(path, actual, expected)
         if op == "$ne":
+            if isinstance(actual, Typed) and _kind(expected) == actual.kind and actual.kind in ("number", "string", "bool"):
+                return actual.col != (number(expected) if actual.kind == "number" else F.lit(expected))
             return ~F.coalesce(self._compare(actual, "$eq", expected), F.lit(False))
         if not op.startswith("$"):
             return F.lit(False)
@@ -246,7 +261,7 @@ class Compiler:
                 parts.append(self._matches(path, actual, c))
             else:
                 parts.append(self._compare(actual, "$eq", c))
-        return _any(F.coalesce(p, F.lit(False)) for p in parts)
+        return parts[0] if plain and len(parts) == 1 else _any(F.coalesce(p, F.lit(False)) for p in parts)
 
     def _plain(self, actual: Typed | Document, c: Any) -> bool:
         """Candidates that can go to the scan as IN."""
@@ -283,7 +298,7 @@ def where(df: DataFrame, query: dict, **options: Any) -> DataFrame:
     """Rows of ``df`` that match ``query``; empty ranges fold to an empty plan."""
     if _empty_range(query):
         return df.where(F.lit(False))
-    return df.where(Compiler(df, **options).compile(query))
+    return df.where(Compiler(df, **options).condition(query))
 
 
 def _empty_range(query: dict) -> bool:

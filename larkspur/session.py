@@ -224,9 +224,9 @@ class Scope:
         meta = drawers.get(name, {"meta": new_meta()})["meta"]
         for f, rule in meta["relationships"].items():
             if rule.get("type") == "1:M" and rule.get("mapped_by") and f not in excluded:
-                kids = self.store.read(drawers.get(rule["target_drawer"]))
-                kids = self._visible(kids, drawers.get(rule["target_drawer"]))
-                df = relate.attach_virtual(df, name, relate.Relationship(f, "1:M", rule["target_drawer"], rule["mapped_by"]), kids)
+                child = drawers.get(rule["target_drawer"])
+                related = relate.Relationship(f, "1:M", rule["target_drawer"], rule["mapped_by"])
+                df = relate.attach_virtual(df, name, related, self.store.read(child), lambda rows, child=child: self._visible(rows, child))
         return relate.hydrate_documents(df, name, every, excluded, with_ids)
 
     def _visible(self, df: DataFrame, entry: dict | None, keep_id: bool = True) -> DataFrame:
