@@ -108,11 +108,17 @@ def new_model(size: int = 16, maps: int = 16, seed: int = 1) -> Model:
     return Model(embedding, filters, {w: np.zeros(maps, np.float32) for w in WIDTHS}, rng.normal(0, 0.1, maps * len(WIDTHS)).astype(np.float32), 0.0)
 
 
-def _padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, each text followed by padding as wide as the widest filter, and the texts' starts."""
-    pad = np.zeros((max(WIDTHS), 2), np.int32)
+def _padded(ids: list[np.ndarray], counted: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, each text followed by padding, and bounds for reduceat.
+
+    Every other bound starts a text; the ones between end its ``counted`` first
+    words (an empty text counts its padding), so that no window starts in the
+    padding or belongs to the next text.
+    """
+    pad = np.zeros((max(WIDTHS) + 1, 2), np.int32)
     flat = np.concatenate([x for own in ids for x in (own, pad)])
-    return flat, np.concatenate([[0], np.cumsum([len(x) + len(pad) for x in ids])[:-1]])
+    starts = np.concatenate([[0], np.cumsum([len(x) + len(pad) for x in ids])[:-1]])
+    return flat, np.stack([starts, starts + np.maximum(counted, 1)], 1).ravel()
 
 
 def logits(model: Model, tables: dict[int, list[np.ndarray]], texts: list[np.ndarray]) -> np.ndarray:
@@ -120,10 +126,11 @@ def logits(model: Model, tables: dict[int, list[np.ndarray]], texts: list[np.nda
     maps = len(model.out) // len(WIDTHS)
     best = np.full((len(texts), len(model.out)), -np.inf, np.float32)
     parts: list[np.ndarray] = []
+    counted: list[int] = []
     owners: list[int] = []
 
     def flush() -> None:
-        flat, starts = _padded(parts)
+        flat, bounds = _padded(parts, counted)
         for k, width in enumerate(WIDTHS):
             n = len(flat) - width + 1
             value = tables[width][0][flat[:n, 0]]
@@ -131,8 +138,9 @@ def logits(model: Model, tables: dict[int, list[np.ndarray]], texts: list[np.nda
             for j in range(1, width):
                 value += tables[width][j][flat[j : j + n, 0]]
                 value += tables[width][j][flat[j : j + n, 1]]
-            np.maximum.at(best[:, k * maps : (k + 1) * maps], owners, np.maximum.reduceat(value, starts, axis=0))
+            np.maximum.at(best[:, k * maps : (k + 1) * maps], owners, np.maximum.reduceat(value, bounds, axis=0)[::2])
         parts.clear()
+        counted.clear()
         owners.clear()
 
     held = 0
@@ -140,6 +148,7 @@ def logits(model: Model, tables: dict[int, list[np.ndarray]], texts: list[np.nda
         for at in range(0, max(1, len(ids)), PART):
             own = ids[at : at + PART + max(WIDTHS) - 1]
             parts.append(own)
+            counted.append(min(PART, len(ids) - at))
             owners.append(i)
             held += len(own)
             if held >= PART:
@@ -172,7 +181,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: i
         chunks = [order[a : a + batch] for a in range(0, len(order), batch)]
         for c in rng.permutation(len(chunks)):
             rows = chunks[c]
-            flat, starts = _padded([texts[r] for r in rows])
+            flat, bounds = _padded([texts[r] for r in rows], [len(texts[r]) for r in rows])
             # Words left out at random, so that no word is learnt only until another explains its texts.
             flat = flat * (rng.random(len(flat)) >= drop)[:, None]
             vectors = model.embedding[flat[:, 0]] + model.embedding[flat[:, 1]]
@@ -180,9 +189,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: i
             for w in WIDTHS:
                 n = len(flat) - w + 1
                 value = sum(vectors[j : j + n] @ model.filters[w][j] for j in range(w))
-                top = np.maximum.reduceat(value, starts, axis=0)
-                stops = np.append(starts[1:], n)
-                where[w] = np.stack([s + value[s:e].argmax(axis=0) for s, e in zip(starts, stops, strict=True)])
+                top = np.maximum.reduceat(value, bounds, axis=0)[::2]
+                where[w] = np.stack([s + value[s:e].argmax(axis=0) for s, e in bounds.reshape(-1, 2)])
                 features.append(top + model.bias[w])
             hidden = np.maximum(np.concatenate(features, axis=1), 0)
             score = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.intercept, -30, 30)))
