@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import pointers as P
-from larkspur.operators import constraints, delete, read, relate, write
+from larkspur.operators import constraints, delete, measure, read, relate, write
 from larkspur.plans.filters import Filter
 from larkspur.plans.predicates import Compiler, where
 from larkspur.session import Engine, local_engine
@@ -456,6 +456,15 @@ def point_lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(keys, orders["o_orderkey"] == keys["k"], "left_semi")
 
 
+@query(
+    "weighted_percentiles",
+    "WITH s AS (SELECT l_returnflag, l_discount, sum(l_linenumber)::DOUBLE AS w FROM lineitem GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY l_discount ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM s) "
+    "SELECT l_returnflag, min(CASE WHEN upto >= ceil(total * 0.95::DOUBLE) THEN l_discount END) AS p95, min(CASE WHEN upto >= ceil(total * 0.99::DOUBLE) THEN l_discount END) AS p99 FROM c GROUP BY 1",
+)
+def weighted_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.weighted_percentiles(load(spark, sf_dir, "lineitem"), "l_returnflag", "l_discount", "l_linenumber")
+
+
 @query("purge", f"SELECT book, quantity FROM {_BOOKS_SQL} WHERE purge_bucket <> 0")
 def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _books(spark, sf_dir)
