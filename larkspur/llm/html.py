@@ -49,17 +49,21 @@ _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _NOT_SAID = frozenset("with has no without".split())
 
 
-def says_aside(attributes: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's class, id, role or style sets it apart from the article."""
+def says_aside(attributes: list[tuple[str, str | None]]) -> bool | str:
+    """Whether an element's class, id, role or style sets it apart from the article.
+
+    "soft" if all it says is that it is a header.
+    """
+    said: set[str] = set()
     for name, value in attributes:
         if name in ("class", "id", "role"):
             for word in (value or "").split():
                 parts = [p.lower() for p in _PARTS.split(word) if p]
-                if parts and parts[0] not in _NOT_SAID and not NAMES.isdisjoint(parts):
-                    return True
+                if parts and parts[0] not in _NOT_SAID:
+                    said.update(NAMES.intersection(parts))
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value or "", re.I):
             return True
-    return False
+    return "soft" if said == {"header"} else bool(said)
 
 
 class Blocks(HTMLParser):
@@ -110,12 +114,13 @@ class Blocks(HTMLParser):
                 self.regions += 1
                 self.region = self.regions
                 self.kinds[self.region] = tag
-        if self.aside == "soft" and tag in HEADINGS and not says_aside(attrs):
+        said = tag not in ("html", "body", "main") and says_aside(attrs)
+        if self.aside == "soft" and tag in HEADINGS and not said:
             self.aside = False
-        elif tag == "header" and self.region and not self.aside and not says_aside(attrs):
-            self.aside = "soft"  # an article's own header keeps its headings
-        elif tag in DROPPED or tag == "header" or tag not in ("html", "body", "main") and says_aside(attrs):
+        elif tag in DROPPED or said is True:
             self.aside = True
+        elif (tag == "header" or said) and not self.aside:
+            self.aside = "soft" if self.region else True  # an article's own header keeps its headings
         if tag == "a":
             self.in_link += 1
 

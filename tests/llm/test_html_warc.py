@@ -19,6 +19,8 @@ ARTICLE = "This paragraph of the article is long enough to stand out from links.
         (f"<body class=has-sidebar><div id=menu><ul><li><a href=a>a</a></ul></div><div class=content><p>{ARTICLE}</p><p>b\n  c</p></div><div class='user-comments'><p>{ARTICLE}</p></div>", f"{ARTICLE}\nb c"),
         (f"<main><article><header><h1>Top</h1><p>by me</p></header><p>{ARTICLE}</p><aside>x</aside><form><p>f</p></form></article><article class=related>{ARTICLE * 3}</article></main>", f"Top\n{ARTICLE}"),
         (f"<article><p>{ARTICLE}</p><script>var a='<p>no</p>';</script><style>p{{}}</style><!-- <p>no</p> --><div class=ad>buy</div><div role=alert>!</div><div style='display: none'>h</div><p>z</p></article>", f"{ARTICLE}\nz"),
+        (f"<article><div class=post-header><h2>T</h2><span>by</span></div><p>{ARTICLE}</article>", f"T\n{ARTICLE}"),
+        (f"<div class=header><h1>Site</h1></div><article><p>{ARTICLE}</article>", ARTICLE),
         (f"<article><p><b>{ARTICLE}<br><p>next</p></article>", f"{ARTICLE}\nnext"),
         (f"<article><table><tr><td>a<td>b<tr><td>c</table><ul><li>x<li>y</ul><p>{ARTICLE}</article>", f"a\nb\nc\nx\ny\n{ARTICLE}"),
         (f"<article><p>{ARTICLE}</p></p></div></article></body>", ARTICLE),
