@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def forest(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Edges that join what the links (p, q) join, at most one for each of ``n`` rows."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, p, root[q])
+        np.minimum.at(low, q, root[p])
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            at = np.flatnonzero(root != np.arange(n))
+            return np.stack([at, root[at]], 1)
+        root = low

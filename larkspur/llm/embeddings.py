@@ -16,17 +16,17 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, stored
-from .components import connected_components
+from .components import connected_components, forest
 
-TABLES = 10
+TABLES = 8
 #: Neighbouring cells that a vector looks into.
-PROBES = 4
+PROBES = 2
 #: Length to which unit vectors are scaled before they are decoded.
-SCALE = 1.77
+SCALE = 1.5
 #: Rows of a cell that are compared at a time.
 BLOCK = 2048
 
@@ -83,17 +83,24 @@ def cells(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale
     return own, near
 
 
+def _typed(rows: DataFrame, embedding: str) -> Column:
+    """Components as they are stored if those are floats, else as doubles; a negative zero is a zero."""
+    kind = "float" if dict(rows.dtypes)[embedding] == "array<float>" else "double"
+    return F.transform(F.col(embedding).cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
+
+
 def distinct_vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(rep, n, embedding): usable vectors, equal ones as one named by their smallest id."""
     usable = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     some = F.exists(embedding, lambda x: x != 0)
-    good = rows.where(usable & some).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    good = rows.where(usable & some).select(F.col(vec_id).cast("long").alias("vec_id"), _typed(rows, embedding).alias("embedding"))
     return good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
 
-def _dealt(vectors: DataFrame) -> DataFrame:
-    """Rows of cells: (t, cell, role, id, n, own, vector); role 0 is at home, 1 looks in."""
-    names = ["t", "cell", "role", "id", "n", "own", "vector"]
+def _dealt(vectors: DataFrame, ship: bool) -> DataFrame:
+    """Rows of cells: (t, cell, role) and, to ``ship``, (id, n, own, vector); role 0 is at home, 1 looks in."""
+    names = ["t", "cell", "role"] + ["id", "n", "own", "vector"] * ship
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,46 +109,52 @@ def _dealt(vectors: DataFrame) -> DataFrame:
             for size in sorted({len(v) for v in every}):
                 at = [i for i, v in enumerate(every) if len(v) == size]
                 raw = np.array([every[i] for i in at], float)
-                raw /= np.abs(raw).max(axis=1, keepdims=True)
-                unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                own, near = cells(unit)
-                data = pa.array([u.tobytes() for u in unit], pa.binary())
-                homes = pa.array([o.tobytes() for o in own], pa.binary())
+                own, near = cells(_unit(raw))
+                more = []
+                if ship:
+                    data = pa.array([r.tobytes() for r in raw.astype(np.float32 if single else float)], pa.binary())
+                    more = [pa.array(ids[at]), pa.array(counts[at]), pa.array([o.tobytes() for o in own], pa.binary()), data]
                 for t in range(TABLES):
                     for role, keys in [(0, own[:, t])] + [(1, near[:, t, p]) for p in range(PROBES)]:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), t, np.int32)), pa.array(keys), pa.array(np.full(len(at), role, np.int32)), pa.array(ids[at]), pa.array(counts[at]), homes, data], names
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(keys), pa.array(np.full(len(at), role, np.int32)), *more], names)
 
     spark = vectors.sparkSession
     spread = vectors.select("rep", "n", "embedding").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spread.mapInArrow(deal, "t int, cell long, role int, id long, n long, own binary, vector binary")
+    return spread.mapInArrow(deal, "t int, cell long, role int" + ", id long, n long, own binary, vector binary" * ship)
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``block``: cells of over BLOCK rows are compared by pairs of blocks.
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """Rows of cells with (kind, i, j): cells of over BLOCK rows are compared by pairs of blocks.
 
     Each pair of a cell's rows meets in exactly one block pair: rows at home in
-    (i, j) with i <= j, those that look in at (q, j).  Cells without two rows,
-    or with lookers only, are left out.
+    (0, i, j) with i <= j, those that look in at (1, q, j).  Cells are counted
+    first, without their vectors; large ones are few, one for BLOCK rows at
+    most, and joined by broadcast while they are at most 100,000.
     """
-    sizes = rows.groupBy("t", "cell").agg(F.sum(1 - F.col("role")).alias("homes"), F.sum("role").alias("guests"))
-    sizes = stored(sizes.where("homes > 1 OR homes > 0 AND guests > 0"), "cell-sizes")
-    met = rows.join(sizes, ["t", "cell"])
-    met = met.withColumn("nh", F.ceil(F.col("homes") / BLOCK)).withColumn("ng", F.ceil(F.col("guests") / BLOCK))
-    mine = F.pmod(F.xxhash64("id"), F.when(F.col("role") == 0, F.col("nh")).otherwise(F.greatest("ng", F.lit(1))))
-    met = met.withColumn("mine", mine)
+    sizes = _dealt(vectors, False).groupBy("t", "cell").agg(F.sum(1 - F.col("role")).alias("homes"), F.sum("role").alias("guests"))
+    large = stored(sizes.where((F.col("homes") > BLOCK) | (F.col("guests") > BLOCK)), "large-cells")
+    met = _dealt(vectors, True).join(F.broadcast(large) if large.count() <= 100_000 else large, ["t", "cell"], "left")
+    met = met.withColumn("nh", F.greatest(F.ceil(F.coalesce("homes", F.lit(1)) / BLOCK), F.lit(1)))
+    met = met.withColumn("ng", F.greatest(F.ceil(F.coalesce("guests", F.lit(1)) / BLOCK), F.lit(1)))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("role") == 0, F.col("nh")).otherwise(F.col("ng"))))
+    # A cell of one block is one group, of both kinds at once.
     home = F.expr(
         "concat(transform(sequence(0L, nh - 1), j -> named_struct('kind', 0, 'i', least(mine, j), 'j', greatest(mine, j))), "
-        "transform(if(ng > 0, sequence(0L, ng - 1), array()), q -> named_struct('kind', 1, 'i', q, 'j', mine)))"
+        "transform(sequence(0L, ng - 1), q -> named_struct('kind', 1, 'i', q, 'j', mine)))"
     )
     guest = F.expr("transform(sequence(0L, nh - 1), j -> named_struct('kind', 1, 'i', mine, 'j', j))")
-    met = met.withColumn("block", F.explode(F.when(F.col("role") == 0, home).otherwise(guest)))
-    return met.select("t", "cell", "block.*", "role", "mine", "id", "n", "own", "vector")
+    whole = F.expr("array(named_struct('kind', 2, 'i', 0L, 'j', 0L))")
+    block = F.when(F.col("nh") + F.col("ng") == 2, whole).when(F.col("role") == 0, home).otherwise(guest)
+    return met.withColumn("block", F.explode(block)).select("t", "cell", "block.*", "role", "mine", "id", "n", "own", "vector")
 
 
-def _compare(blocks: DataFrame, least: float) -> DataFrame:
-    """Per vector its links found at home and a reachable id, (id, count, label, null); or a pair (a, n_b, b, n_a)."""
+def _compare(blocks: DataFrame, least: float, kept: str) -> DataFrame:
+    """Per vector its links found at home and a reachable id, (id, count, other id, -1); or a pair (a, n_b, b, n_a)."""
     names = ["a", "x", "b", "y"]
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -150,38 +163,44 @@ def _compare(blocks: DataFrame, least: float) -> DataFrame:
         ids, n = np.array([r[7] for r in rows]), np.array([r[8] for r in rows])
         own = np.frombuffer(b"".join(r[9] for r in rows), np.int64).reshape(len(rows), -1)
         sizes = np.array([len(r[10]) for r in rows])
+        home, guest = role == 0, role == 1
         for size in np.unique(sizes):
             same = sizes == size
-            if kind == 0:
-                left, right = np.flatnonzero(same & (mine == i)), np.flatnonzero(same & (mine == j))
-            else:
-                left, right = np.flatnonzero(same & (role == 1)), np.flatnonzero(same & (role == 0))
-            if not len(left) or not len(right):
-                continue
-            a = np.frombuffer(b"".join(rows[k][10] for k in left)).reshape(len(left), -1)
-            b = np.frombuffer(b"".join(rows[k][10] for k in right)).reshape(len(right), -1)
-            for start in range(0, len(left), 512):  # a slab of the block at a time
-                part = left[start : start + 512]
-                link = (a[start : start + 512] @ b.T >= least) & (ids[part][:, None] != ids[right][None, :])
-                p, q = np.nonzero(link)
-                seen = own[part[p]] == own[right[q]]
-                new = ~(seen[:, :t] if kind == 0 else seen).any(axis=1)
-                p, q = part[p[new]], right[q[new]]
-                if not len(p):
+            sides = []
+            if kind in (0, 2):
+                sides.append((0, same & home & (mine == i), same & home & (mine == j)))
+            if kind in (1, 2):
+                sides.append((1, same & guest, same & home))
+            for what, left, right in sides:
+                left, right = np.flatnonzero(left), np.flatnonzero(right)
+                if not len(left) or not len(right) or (what == 0 and i == j and len(left) < 2):
                     continue
-                if kind == 1:
-                    low, high = np.where(ids[p] < ids[q], p, q), np.where(ids[p] < ids[q], q, p)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[low]), pa.array(n[high]), pa.array(ids[high]), pa.array(n[low])], names)
-                    continue
-                # Links of rows of one block are seen from both ends here, others from one.
-                count = np.zeros(len(rows), np.int64)
-                np.add.at(count, p, n[q])
-                if i != j:
-                    np.add.at(count, q, n[p])
-                edges = _forest(p, q, len(rows))
-                got = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(count[got]), pa.array(ids[got]), pa.array(np.full(len(got), -1))], names)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(np.zeros(len(edges), np.int64)), pa.array(ids[edges[:, 1]]), pa.array(np.full(len(edges), -1))], names)
+                a, b = (_unit(np.frombuffer(b"".join(rows[k][10] for k in x), kept).reshape(len(x), -1).astype(float)) for x in (left, right))
+                for start in range(0, len(left), 512):  # a slab of the block at a time
+                    part = left[start : start + 512]
+                    link = (a[start : start + 512] @ b.T >= least) & (ids[part][:, None] != ids[right][None, :])
+                    p, q = np.nonzero(link)
+                    seen = own[part[p]] == own[right[q]]
+                    new = ~(seen if what else seen[:, :t]).any(axis=1)
+                    p, q = part[p[new]], right[q[new]]
+                    if len(p):
+                        yield from links(ids, n, p, q, what, i == j)
+
+    def links(ids: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray, what: int, both: bool) -> Iterator[pa.RecordBatch]:
+        if what == 1:
+            low, high = np.where(ids[p] < ids[q], p, q), np.where(ids[p] < ids[q], q, p)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low]), pa.array(n[high]), pa.array(ids[high]), pa.array(n[low])], names)
+            return
+        # Links of rows of one block are seen from both ends here, others from one.
+        count = np.zeros(len(ids), np.int64)
+        np.add.at(count, p, n[q])
+        if not both:
+            np.add.at(count, q, n[p])
+        edges = forest(p, q, len(ids))
+        got = np.flatnonzero(count)
+        rows = [(ids[got], count[got], ids[got]), (ids[edges[:, 0]], np.zeros(len(edges), np.int64), ids[edges[:, 1]])]
+        for x, c, y in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(c), pa.array(y), pa.array(np.full(len(x), -1))], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -200,21 +219,6 @@ def _compare(blocks: DataFrame, least: float) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, x long, b long, y long")
 
 
-def _forest(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """Edges that join what the links (p, q) join, at most one a row."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, p, root[q])
-        np.minimum.at(low, q, root[p])
-        low = np.minimum(low, low[low])
-        if (low == root).all():
-            break
-        root = low
-    at = np.flatnonzero(root != np.arange(n))
-    return np.stack([at, root[at]], 1)
-
-
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -228,7 +232,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     if int(spark.conf.get(key)) > 2000:
         spark.conf.set(key, 2000)
     distinct = stored(distinct_vectors(rows, vec_id, embedding), "distinct-vectors")
-    found = stored(_compare(_blocks(stored(_dealt(distinct), "cells")), least), "links")
+    kept = "<f4" if dict(distinct.dtypes)["embedding"] == "array<float>" else "<f8"
+    found = stored(_compare(_blocks(distinct), least, kept), "links")
     pairs = found.where("y >= 0").distinct()
     counts = found.where("y < 0").select("a", "x").unionByName(pairs.select("a", "x")).unionByName(pairs.select(F.col("b").alias("a"), F.col("y").alias("x")))
     counts = counts.groupBy("a").agg(F.sum("x").alias("links"))
@@ -239,7 +244,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("_links"),
         F.coalesce("component", "rep").alias("_component"),
     )
-    own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("_own"))
+    own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), _typed(rows, embedding).alias("_own"))
     out = own.join(known, (F.col("_own") == F.col("_embedding")) & F.col("vec_id").isNotNull(), "left")
     out = out.select("vec_id", F.coalesce("_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("_component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, small_batches, stored
-from .components import connected_components
+from .components import connected_components, forest
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = np.arange(8) * 256
@@ -233,20 +233,6 @@ def _dealt(nodes: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     return nodes.select("node", *_WORDS).mapInArrow(deal, "key long, node long, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
-def forest(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """Edges that join what the links (p, q) join, at most one for each of ``n`` rows."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, p, root[q])
-        np.minimum.at(low, q, root[p])
-        low = np.minimum(low, low[low])
-        if (low == root).all():
-            at = np.flatnonzero(root != np.arange(n))
-            return np.stack([at, root[at]], 1)
-        root = low
-
-
 def _verified(dealt: DataFrame, most: int, block: int) -> DataFrame:
     """(a, b): edges that join the fingerprints of a bucket that are at most ``most`` bits apart.
 
