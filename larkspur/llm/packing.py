@@ -187,16 +187,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, salts: int | None = None) -> D
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # At most capacity x salts rows, so the join below may well broadcast them (13 MB at 2,048 x 64).
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "row", "piece")
     ranked = pieces.withColumn("_own", F.row_number().over(own) - 1).join(counts, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_own") + F.col("_before"))
     columns = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5)
     names = ["length", "_from", "_many", "_first", "_offset"]
     planned = spark.createDataFrame(pa.table(dict(zip(names, columns.T, strict=True))))
-    # A piece finds its range by length and block of ranks, so no plan is broadcast.
+    # A piece finds its range by length and block of ranks; merged, since the plan grows until lengths are many.
     blocks = F.sequence(F.expr(f"_from div {BLOCK}"), F.expr(f"(_from + _many - 1) div {BLOCK}"))
     planned = planned.withColumn("_block", F.explode(blocks))
-    found = ranked.withColumn("_block", F.expr(f"_rank div {BLOCK}")).join(planned, ["length", "_block"])
+    found = ranked.withColumn("_block", F.expr(f"_rank div {BLOCK}")).join(planned.hint("merge"), ["length", "_block"])
     found = found.where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_many")))
     return found.select(
         *[c for c in pieces.columns if c != "_salt"],
