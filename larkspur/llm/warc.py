@@ -76,11 +76,12 @@ def _record(page_id, url, html: str, sha1: str, refers_to) -> Iterator[bytes]:
     yield b"\r\n\r\n"
 
 
-def write_archives(planned: DataFrame, archive_bytes: int = 256 << 20) -> DataFrame:
+def write_archives(planned: DataFrame, archive_bytes: int = 64 << 20) -> DataFrame:
     """WARC archives of :func:`dedup_plan`'s rows: (archive, piece, data), written.
 
-    Each task writes one archive after another; a record may cross pieces but
-    no archive.  An archive's name tells its task, so a task that is run again
+    Each task writes one archive after another, each closed with the record that
+    brings it to ``archive_bytes``, so that one reader's share stays bounded; a
+    record may cross pieces but no archive.  An archive's name tells its task, so a task that is run again
     writes the same archives.
     """
     small_batches(planned.sparkSession)
