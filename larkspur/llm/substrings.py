@@ -210,7 +210,8 @@ def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_
     rows = keyed(rows, "text", "doc_id", "key")
     digests = stored(rows.select("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "digests")
     groups = digests.groupBy("digest").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    copies = digests.join(groups, "digest").where("key <> lead").select("key")
+    # Written first, so that the join reads two exchanges and a text with very many copies can be split.
+    copies = digests.join(stored(groups, "copied-texts").hint("merge"), "digest").where("key <> lead").select("key")
     copies = stored(copies, "copies")
     n_copies = copies.count()
     texts = _without(rows, copies, n_copies, "left_anti")
