@@ -236,21 +236,26 @@ def _dealt(nodes: DataFrame, tables: list[np.ndarray]) -> DataFrame:
 def _verified(dealt: DataFrame, most: int, block: int) -> DataFrame:
     """(a, b): edges that join the fingerprints of a bucket that are at most ``most`` bits apart.
 
-    A bucket above ``block`` rows is compared in blocks, dealt by a hash that
-    every table draws anew, with its smallest node in each; so its work grows
-    with its rows and not with their pairs, and no task holds all of it.
+    Every pair of a bucket is compared, but for those that are joined already:
+    rows of a bucket above ``block`` are held against its smallest node first,
+    and two that are both near it need no edge of their own.  All other pairs
+    meet in one pair of blocks each: the rest's blocks with one another, and
+    with those of the rows near the smallest node.  No task holds a whole
+    bucket; copies of one text cost their rows, texts that are unlike their
+    bucket's smallest cost a row for each block.
     """
     names = ["a", "b"]
 
-    def verify(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    def verify(key: np.ndarray, node: np.ndarray, side: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
         live = np.arange(len(key))
         found_p, found_q = [], []
         step = 1
         while len(live):
             live = live[live + step < len(key)]
             live = live[key[live] == key[live + step]]
-            apart = np.bitwise_count(words[live] ^ words[live + step]).sum(axis=1)
-            near = live[apart <= most]
+            due = live[(side[live] == 0) | (side[live] != side[live + step])]
+            apart = np.bitwise_count(words[due] ^ words[due + step]).sum(axis=1)
+            near = due[apart <= most]
             found_p.append(near)
             found_q.append(near + step)
             step += 1
@@ -262,7 +267,8 @@ def _verified(dealt: DataFrame, most: int, block: int) -> DataFrame:
         held = None
         for batch in batches:
             key = batch.column(0).to_numpy()
-            now = (key, batch.column(1).to_numpy(), np.stack([batch.column(2 + k).to_numpy() for k in range(LONG)], 1).view(np.uint64))
+            words = np.stack([batch.column(3 + k).to_numpy() for k in range(LONG)], 1).view(np.uint64)
+            now = (key, batch.column(1).to_numpy(), batch.column(2).to_numpy(), words)
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
@@ -272,15 +278,32 @@ def _verified(dealt: DataFrame, most: int, block: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield verify(*held)
 
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where(F.col("n") > block)
-    sizes = stored(sizes, "large-buckets")
-    met = dealt.join(sizes, "key", "left")
-    blocks = F.ceil(F.col("n") / block)
-    mine = F.pmod(F.xxhash64("key", "node"), blocks)
-    every = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(mine))
-    met = met.withColumn("_block", F.explode(F.coalesce(every, F.array(F.lit(0).cast("long")))))
-    met = met.select(F.xxhash64("key", "_block").alias("key"), "node", *_WORDS)
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    sizes = stored(dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where(F.col("n") > block), "large-buckets")
+    small = dealt.join(sizes, "key", "left_anti").select("key", "node", F.lit(0).alias("side"), *_WORDS)
+    if sizes.isEmpty():
+        met, led = small, None
+    else:
+        large = stored(dealt.join(sizes.select("key", "lead"), "key"), "large-rows")
+        leads = large.where("node = lead").select("key", *[F.col(w).alias(f"l{w}") for w in _WORDS])
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{w}"))) for w in _WORDS), F.lit(0))
+        large = stored(large.join(leads, "key").select("key", "node", "lead", (apart <= most).alias("near"), *_WORDS), "led-rows")
+        led = large.where("near AND node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        # Blocks of the rest and of the rows near the lead, in buckets that have a rest.
+        counts = large.groupBy("key").agg(F.count_if(~F.col("near")).alias("rest"), F.count_if("near").alias("held")).where("rest > 0")
+        counts = counts.select("key", F.ceil(F.col("rest") / block).alias("nr"), F.ceil(F.col("held") / block).alias("nh"))
+        paired = large.join(stored(counts, "large-rests"), "key")
+        paired = paired.withColumn("mine", F.pmod(F.xxhash64("key", "node"), F.when(F.col("near"), F.col("nh")).otherwise(F.col("nr"))))
+        # Rows of side 0 are compared with all of their group, others with those of the other side.
+        rest = F.expr(
+            "concat(transform(sequence(0L, nr - 1), j -> named_struct('kind', 0, 'i', least(mine, j), 'j', greatest(mine, j), 'side', CASE WHEN mine = j THEN 0 WHEN mine < j THEN 1 ELSE 2 END)), "
+            "transform(sequence(0L, nh - 1), q -> named_struct('kind', 1, 'i', mine, 'j', q, 'side', 1)))"
+        )
+        held = F.expr("transform(sequence(0L, nr - 1), i -> named_struct('kind', 1, 'i', i, 'j', mine, 'side', 2))")
+        paired = paired.withColumn("block", F.explode(F.when(F.col("near"), held).otherwise(rest)))
+        paired = paired.select(F.xxhash64("key", "block.kind", "block.i", "block.j").alias("key"), "node", "block.side", *_WORDS)
+        met = small.unionByName(paired)
+    found = met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    return found if led is None else found.unionByName(led)
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, recall: float = 0.97, block: int = 256) -> DataFrame:

@@ -92,3 +92,23 @@ def test_near_copies_by_similarity(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, ""), (101, None)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, block=2).collect()}
     assert got == {**{i: i - i % 2 for i in range(24)}, **{i: i for i in range(24, 44)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("lead", [0, 60])
+def test_all_pairs_of_a_large_bucket_are_compared(spark, lead):
+    """Pairs, chains and rows near the smallest node, in a bucket far above the block."""
+    rng = random.Random(lead)
+    flip = lambda f, n: f ^ sum(1 << k for k in rng.sample(range(256), n))
+    fps = [rng.getrandbits(256)]
+    fps += [flip(fps[0], rng.randrange(20, 50)) for _ in range(lead)]
+    for _ in range(120):
+        fps.append(rng.getrandbits(256))
+        fps += [flip(fps[-1], 40)]
+        fps += [flip(fps[-1], 30)]
+    signed = lambda f, k: (f >> 64 * k & 2**64 - 1) - (2**64 if f >> 64 * k + 63 & 1 else 0)
+    rows = [(5, i, *(signed(f, k) for k in range(4))) for i, f in enumerate(fps)] + [(6, i, *(signed(f, k) for k in range(4))) for i, f in enumerate(fps[:3])]
+    dealt = spark.createDataFrame(rows, "key long, node long, f0 long, f1 long, f2 long, f3 long")
+    got = {(r.a, r.b) for r in simhash._verified(dealt, 43, 16).collect()}
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 43]
+    assert roots(range(len(fps)), got) == roots(range(len(fps)), near)
+    assert len(set(roots(range(len(fps)), near).values())) > 100
