@@ -3,9 +3,10 @@
 The standard library's parser yields blocks of text with the number of tags
 and the share of link text in each.  The ratio of text to tags, block by block,
 is smoothed with a Gaussian; its standard deviation is the threshold that
-clusters blocks into content and the rest, and the region that holds most of
-the content is the article.  Within that region all blocks stay, however short,
-but for parts whose element or name says that they are no article text.
+clusters blocks into content and the rest, and the regions that hold most of
+the content are the article.  Within them all blocks stay, however short, but
+for parts whose element or name says that they are no article text.  Names are
+weak evidence: one that would drop most of a page's content is passed over.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ NAMES = frozenset(
     "notice notices alert cookie cookies consent gdpr disclaimer popup modal overlay dialog newsletter subscribe subscription "
     "signup login search searchbox form share sharing social follow".split()
 )
+# Elements around whole pages as often as around parts: no more evidence than a name.
+WRAPPERS = frozenset("form fieldset dialog".split())
+#: So many times the content of the articles outside it outweighs a name.
+NAME_WEIGHT = 4
 _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _NOT_SAID = frozenset("with has no without".split())
 
@@ -67,16 +72,21 @@ def says_aside(attributes: list[tuple[str, str | None]]) -> bool | str:
 
 
 class Blocks(HTMLParser):
-    """Collects blocks: [text, tags, link characters, aside, region].
+    """Collects blocks: [text, tags, link characters, aside, region, name, out].
 
     ``region`` numbers the outermost article (else main element) around a
     block, 0 where there is none; ``aside`` marks what is no article text.
+    ``name`` numbers the innermost element around it that a name sets apart
+    (``outer`` has the next one around each), ``out`` marks blocks that go
+    whatever the names.  Names of the elements in ``passed`` are passed over.
     """
 
-    def __init__(self):
+    def __init__(self, passed: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
-        self.open: list[tuple[str, bool | str, int]] = []  # name, aside, region
+        self.open: list[tuple[str, bool | str, int, int, bool]] = []  # tag, aside, region, name, out
+        self.passed, self.outer = passed, [0]
+        self.name, self.out = 0, False
         self.parts: list[str] = []
         self.tags = self.links = self.in_link = self.regions = 0
         self.aside: bool | str = False
@@ -86,7 +96,7 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append([text, self.tags, self.links, self.aside, self.region])
+            self.blocks.append([text, self.tags, self.links, self.aside, self.region, self.name, self.out])
             self.tags = 0
         self.links = 0
         self.parts = []
@@ -108,16 +118,27 @@ class Blocks(HTMLParser):
             return
         if tag not in BLOCKS and tag in DROPPED:
             self.flush()
-        self.open.append((tag, self.aside, self.region))
+        self.open.append((tag, self.aside, self.region, self.name, self.out))
+        said = says_aside(attrs)
+        hidden = said is True and says_aside([a for a in attrs if a[0] not in ("class", "id", "role")])
+        named = (bool(said) or tag in WRAPPERS) and not hidden and tag not in ("html", "body")
+        passed = False
+        if named:
+            self.outer.append(self.name)
+            self.name = len(self.outer) - 1
+            passed = self.name in self.passed
         if tag in ("article", "main") and not self.aside and (not self.region or tag == "article" and self.kinds[self.region] == "main"):
-            if not says_aside([a for a in attrs if a[0] != "role"]):
+            if passed or not says_aside([a for a in attrs if a[0] != "role"]):
                 self.regions += 1
                 self.region = self.regions
                 self.kinds[self.region] = tag
-        said = tag not in ("html", "body", "main") and says_aside(attrs)
+        if passed or tag in ("html", "body", "main"):
+            said = False
+        dropped = tag in DROPPED and not (passed and tag in WRAPPERS)
+        self.out = self.out or bool(hidden) or tag in DROPPED - WRAPPERS
         if self.aside == "soft" and tag in HEADINGS and not said:
             self.aside = False
-        elif tag in DROPPED or said is True:
+        elif dropped or said is True:
             self.aside = True
         elif (tag == "header" or said) and not self.aside:
             self.aside = "soft" if self.region else True  # an article's own header keeps its headings
@@ -132,7 +153,7 @@ class Blocks(HTMLParser):
     def _close(self, at: int) -> None:
         self.flush()
         self.in_link -= sum(o[0] == "a" for o in self.open[at:])
-        _, self.aside, self.region = self.open[at]
+        _, self.aside, self.region, self.name, self.out = self.open[at]
         del self.open[at:]
 
     def handle_endtag(self, tag):
@@ -169,14 +190,50 @@ def content_blocks(blocks: list[list]) -> np.ndarray:
     return level >= min(level.std(), level.max())
 
 
+def passed_names(parser: Blocks) -> frozenset[int]:
+    """Elements whose name is passed over, as they hold most of the page's content.
+
+    Where an article without such a name holds content too, it has to be
+    outweighed by far.
+    """
+    free = [b for b in parser.blocks if not b[6]]
+    if not free or not any(b[5] for b in free):
+        return frozenset()
+    mass = [0] * len(parser.outer)
+    articles = 0
+    for block, yes in zip(free, content_blocks(free).tolist(), strict=True):
+        n = (len(block[0]) - block[2]) * yes
+        mass[block[5]] += n
+        if not block[3] and parser.kinds[block[4]] == "article":
+            articles += n
+    for k in range(len(mass) - 1, 0, -1):
+        mass[parser.outer[k]] += mass[k]
+    # Names inside an article leave its own text; those around it are held against none.
+    inside = [0] * len(mass)
+    for block in free:
+        if not block[3] and parser.kinds[block[4]] == "article":
+            inside[block[5]] = 1
+    for k in range(len(mass) - 1, 0, -1):
+        inside[parser.outer[k]] |= inside[k]
+    return frozenset(k for k in range(1, len(mass)) if 2 * mass[k] > mass[0] and (inside[k] or mass[k] > NAME_WEIGHT * articles))
+
+
+def _parsed(html: str, passed: frozenset[int] = frozenset()) -> Blocks:
+    parser = Blocks(passed)
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    return parser
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, blocks joined by line feeds."""
     if not html:
         return ""
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser = _parsed(html)
+    passed = passed_names(parser)
+    if passed:
+        parser = _parsed(html, passed)
     own = [b for b in parser.blocks if not b[3]]
     if not own:
         return ""
@@ -185,12 +242,13 @@ def main_text(html: str | None) -> str:
     for block, yes in zip(own, content.tolist(), strict=True):
         mass[block[4]] = mass.get(block[4], 0) + (len(block[0]) - block[2]) * yes
     marked = {r: m for r, m in mass.items() if r}
-    if marked:
-        # An article inside main stands for it if it holds content; else the richest region.
+    if marked and sum(marked.values()) >= mass.get(0, 0):
+        # An article inside main stands for it if it holds content; of several, those above the threshold of their contents.
         articles = {r: m for r, m in marked.items() if parser.kinds[r] == "article" and m} or marked
-        best = max(articles, key=lambda r: (articles[r], -r))
-        return "\n".join(b[0] for b in own if b[4] == best)
-    # No element marks the article: from the first content block to the last, without lists of links.
+        level = np.std(list(articles.values()))
+        best = {r for r, m in articles.items() if m >= min(level, max(articles.values()))}
+        return "\n".join(b[0] for b in own if b[4] in best)
+    # No element marks the article, or most content is outside: from the first content block to the last, without lists of links.
     at = np.flatnonzero(content & np.array([2 * b[2] <= len(b[0]) for b in own]))
     if not len(at):
         return ""

@@ -31,6 +31,28 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = " ".join([ARTICLE] * 8)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # names around most of the content
+        (f"<nav><a href=x>Home</a></nav><article class='post category-social'><h1>T</h1><p>{LONG}</p><div class=ad>buy</div></article><footer>f</footer>", f"T\n{LONG}"),
+        (f"<div class='with-sidebar page-widget'><article><p>{LONG}</p></article></div><p>x</p>", LONG),
+        (f"<form action=x><div id=related-wrap><div class=content><p>{LONG}</p><p>b</p></div></div></form>", f"{LONG}\nb"),
+        (f"<div class=header><article><p>{LONG}</p></article></div>", LONG),
+        # several articles, and content outside of a small one
+        (f"<article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG} more</p></article><article><p>card</p></article>", f"A\n{LONG}\nB\n{LONG} more"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>{ARTICLE}</p></article>", f"{LONG}\n{LONG}\n{ARTICLE}"),
+        # what is hidden, or no text, stays out however long
+        (f"<div hidden><p>{LONG}</p></div><nav>{LONG}</nav><article class=x><p>{ARTICLE}</p></article>", ARTICLE),
+    ],
+)
+def test_content_selects_regions(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", f"<article><p>{ARTICLE}é</p></article>", 1), (1, "u", None, 2), (None, None, "<p>" + "long " * 50_000 + "</p>", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
