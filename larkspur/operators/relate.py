@@ -8,6 +8,7 @@ pointers that are still open.
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,10 +19,6 @@ from pyspark.sql import functions as F
 from larkspur.functions import pointers as P
 from larkspur.operators.read import edit_documents
 
-#: How many references deep documents are resolved unless told otherwise.
-DEPTH = 4
-
-
 @dataclass(frozen=True)
 class Relationship:
     """A declared rule: ``type`` is 1:1, M:1, M:M or 1:M.
@@ -115,6 +112,14 @@ def referring(children: DataFrame, field: str, parents: DataFrame, key: str = "_
 # Documents ----------------------------------------------------------------
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder; a session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+    return df.checkpoint()
+
+
 def pointers_in(value: object, excluded: frozenset[str] = frozenset(), path: str = "") -> Iterator[str]:
     """Pointers at any depth, but in fields excluded by name or by dotted path."""
     if isinstance(value, str):
@@ -138,12 +143,12 @@ def _pointer_column(doc: Column, excluded: frozenset[str]) -> Column:
     return found(F.to_json(doc))
 
 
-def substitute(value: object, records: dict[str, dict], excluded: frozenset[str], with_ids: bool, depth: int, active: tuple[str, ...] = (), path: str = "") -> object:
+def substitute(value: object, records: dict[str, dict], excluded: frozenset[str], with_ids: bool, depth: int | None, active: tuple[str, ...] = (), path: str = "") -> object:
     """``value`` with pointers replaced by records, unless they are on the way already."""
     if isinstance(value, str) and value.startswith("@"):
         parsed = P.parse_pointer(value)
         pointer = P.format_pointer(*parsed) if parsed else None
-        if pointer in records and pointer not in active and len(active) <= depth:
+        if pointer in records and pointer not in active and (depth is None or len(active) <= depth):
             record = records[pointer]
             inner = substitute(record, records, excluded, with_ids, depth, (*active, pointer))
             return inner if with_ids else {k: v for k, v in inner.items() if k != "_id"}
@@ -159,26 +164,31 @@ def substitute(value: object, records: dict[str, dict], excluded: frozenset[str]
     return value
 
 
-def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude: list[str] | None = None, with_ids: bool = True, depth: int = DEPTH) -> DataFrame:
-    """Documents (_id, _seq, doc) with their references resolved to ``depth``.
+def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude: list[str] | None = None, with_ids: bool = True, depth: int | None = None) -> DataFrame:
+    """Documents (_id, _seq, doc) with their references resolved, all or to ``depth``.
 
     ``every`` has (pointer, doc) of all collections that may be referred to.
     Each level joins the pointers that are open with it once, whichever
     collections they lead to; a record's tree is then put together where it is.
     References to missing records, and back to a record on the way, stay text.
+    Levels are kept as they are reached, until one opens no new pointer.
     """
+    if depth == 0:
+        return df
     excluded = frozenset(exclude or ())
     frontier = df.select("_id", F.explode(_pointer_column(F.col("doc"), excluded)).alias("pointer")).distinct()
     found = None
-    seen = frontier
-    for level in range(depth):
+    seen = frontier = checkpointed(frontier)
+    level = 0
+    while found is None or (depth is None or level < depth) and not frontier.isEmpty():
         got = frontier.join(every, "pointer").select("_id", "pointer", F.col("doc"))
-        got = got.select("_id", "pointer", F.to_json("doc").alias("text"), "doc")
+        got = checkpointed(got.select("_id", "pointer", F.to_json("doc").alias("text"))).withColumn("doc", F.parse_json("text"))
         part = got.select("_id", F.struct("pointer", "text").alias("hit"))
         found = part if found is None else found.unionByName(part)
-        if level + 1 < depth:
+        level += 1
+        if depth is None or level < depth:
             opened = got.select("_id", F.explode(_pointer_column(F.col("doc"), frozenset(e for e in excluded if "." not in e))).alias("pointer")).distinct()
-            frontier = opened.join(seen, ["_id", "pointer"], "left_anti")
+            frontier = checkpointed(opened.join(seen, ["_id", "pointer"], "left_anti"))
             seen = seen.unionByName(frontier)
     lists = found.groupBy(F.col("_id").alias("_row")).agg(F.to_json(F.map_from_entries(F.collect_set("hit"))).alias("_hits"))
     met = df.join(lists, df["_id"] == F.col("_row"), "left")

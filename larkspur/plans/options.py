@@ -11,14 +11,14 @@ from larkspur.plans.filters import Selection
 SHAPES = ("default", "records", "record", "pointers", "exists", "diagnostics")
 _ALIASES = {"excludeHydration": "exclude_hydration", "select": "projection", "fields": "projection"}
 _FLAGS = ("multi", "atomic", "create_if_missing", "hydrate", "include_diagnostics")
-_COUNTS = ("limit", "offset", "page", "page_size")
+_COUNTS = ("limit", "offset", "page", "page_size", "depth")
 _LISTS = ("exclude_hydration", "projection")
 DEFAULT_PAGE_SIZE = 100
 
 
 @dataclass
 class Options:
-    """``include_diagnostics`` and the shape ``diagnostics`` are accepted and change nothing."""
+    """``include_diagnostics`` and the shape ``diagnostics`` are accepted and change nothing; ``depth`` bounds how many references deep a read resolves."""
 
     multi: bool | None = None
     atomic: bool | None = None
@@ -26,6 +26,7 @@ class Options:
     return_shape: str | None = None
     hydrate: bool | None = None
     exclude_hydration: list[str] | None = None
+    depth: int | None = None
     projection: list[str] | None = None
     limit: int | None = None
     offset: int | None = None

@@ -227,7 +227,7 @@ class Scope:
                 child = drawers.get(rule["target_drawer"])
                 related = relate.Relationship(f, "1:M", rule["target_drawer"], rule["mapped_by"])
                 df = relate.attach_virtual(df, name, related, self.store.read(child), lambda rows, child=child: self._visible(rows, child))
-        return relate.hydrate_documents(df, name, every, excluded, with_ids)
+        return relate.hydrate_documents(df, name, every, excluded, with_ids, opts.depth)
 
     def _visible(self, df: DataFrame, entry: dict | None, keep_id: bool = True) -> DataFrame:
         """Without back-links that only the store knows of, and for pointer reads without the id."""

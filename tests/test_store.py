@@ -58,6 +58,19 @@ def test_references_cycles_and_virtual_fields(scope):
     assert [d["_id"] for d in docs(ordered)] == ["q", "p"]
 
 
+def test_chains_of_references_are_resolved_whole(scope):
+    scope.upsert([{"_id": str(i), "next": f"@link:{i + 1}"} for i in range(7)] + [{"_id": "7", "next": "@link:5"}], "link")
+
+    def length(doc):
+        return 1 + length(doc["next"]) if isinstance(doc["next"], dict) else 0
+
+    whole = docs(scope.read("@link:0"))[0]
+    assert length(whole) == 7
+    assert [length(docs(scope.read("@link:0", depth=n))[0]) for n in (0, 1, 5)] == [0, 1, 5]
+    with pytest.raises(InvalidInput):
+        scope.read("@link:0", depth=-1)
+
+
 SCHEMA = {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": {"type": "string", "minLength": 2, "maxLength": 4}, "age": {"type": "integer", "minimum": 0, "maximum": 120}, "element": {"enum": ["fire", "ice"]}}}
 
 
