@@ -49,6 +49,16 @@ def rules_of(metas: dict[str, dict]) -> list[Rule]:
     return out
 
 
+def held_back(edges: dict[Rule, DataFrame], there: DataFrame) -> DataFrame | None:
+    """References (parent_drawer, parent_id, child, child_id) for which Restrict rules refuse records of ``there`` (parent_drawer, parent_id)."""
+    out = None
+    for rule, found in edges.items():
+        if rule.action == "Restrict":
+            part = found.join(there, ["parent_drawer", "parent_id"], "left_semi").select("parent_drawer", "parent_id", "child", "child_id")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def closure(
     spark: SparkSession,
     start: DataFrame,
@@ -68,11 +78,10 @@ def closure(
     while True:
         here = frontier.select(F.col("drawer").alias("parent_drawer"), F.col("_id").alias("parent_id"))
         there = frontier.select(F.col("drawer").alias("child"), F.col("_id").alias("child_id"))
-        for rule in rules:
-            if rule.action == "Restrict":
-                held = found[rule].join(here, ["parent_drawer", "parent_id"], "left_semi").limit(1).collect()
-                if held:
-                    raise Restricted(f"@{held[0].parent_drawer}:{held[0].parent_id} is referred to by @{held[0].child}:{held[0].child_id}")
+        refused = held_back(found, here)
+        held = refused.limit(1).collect() if refused is not None else []
+        if held:
+            raise Restricted(f"@{held[0].parent_drawer}:{held[0].parent_id} is referred to by @{held[0].child}:{held[0].child_id}")
         steps = []
         for rule in rules:
             if rule.action == "Cascade" and rule.forward:

@@ -415,10 +415,19 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("delete_restrict", "SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 10) AS restricted FROM nation")
 def delete_restrict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which nations may not be deleted because a supplier refers to them."""
-    nation = load(spark, sf_dir, "nation")
-    held = where(load(spark, sf_dir, "supplier"), {"s_suppkey": {"$lte": 10}}).select(F.col("s_nationkey").alias("k")).distinct()
-    return nation.join(held, nation["n_nationkey"] == held["k"], "left").select("n_nationkey", F.col("k").isNotNull().alias("restricted"))
+    """Which nations may not be deleted because one of the suppliers up to key 10 refers to them."""
+    return restricted_nations(load(spark, sf_dir, "nation"), where(load(spark, sf_dir, "supplier"), {"s_suppkey": {"$lte": 10}}))
+
+
+def restricted_nations(nation: DataFrame, supplier: DataFrame) -> DataFrame:
+    """(n_nationkey, restricted) by the rule that a nation with suppliers stays."""
+    rule = delete.Rule("Restrict", "nation", "supplier", "s_nationkey")
+    refs = supplier.select(
+        F.lit(rule.parent).alias("parent_drawer"), F.col(rule.field).cast("string").alias("parent_id"), F.lit(rule.child).alias("child"), F.col(KEYS[rule.child]).cast("string").alias("child_id")
+    )
+    start = nation.select(F.lit(rule.parent).alias("parent_drawer"), F.col("n_nationkey").cast("string").alias("parent_id"))
+    held = delete.held_back({rule: refs}, start).select(F.col("parent_id").alias("k")).distinct()
+    return nation.join(held, nation["n_nationkey"].cast("string") == held["k"], "left").select("n_nationkey", F.col("k").isNotNull().alias("restricted"))
 
 
 @query("delete_set_null", "SELECT s_suppkey, CASE WHEN s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) THEN s_nationkey END AS s_nationkey FROM supplier")

@@ -129,6 +129,15 @@ def test_cascade(scope):
     assert (by_id(scope, "parent").keys(), by_id(scope, "kid").keys(), scope.count("toy")) == ({"b"}, {"m"}, 0)
 
 
+def test_restricted_nations_by_all_suppliers(spark):
+    from larkspur import queries
+
+    nation = spark.createDataFrame([(k,) for k in range(6)], "n_nationkey int")
+    supplier = spark.createDataFrame([(1, 0), (11, 2), (900, 5), (901, 5), (902, None), (903, 77)], "s_suppkey long, s_nationkey int")
+    got = {r.n_nationkey: r.restricted for r in queries.restricted_nations(nation, supplier).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: False, 5: True}
+
+
 def test_restrict_leaves_all(scope):
     family(scope, "Restrict")
     with pytest.raises(Restricted):
