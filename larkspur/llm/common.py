@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut, in the worker, into parts of few enough rows and bytes of ``column``.
+
+    Spark bounds a batch at 64 MB whatever its rows; a worker that holds several
+    arrays for each word wants less.  A row is never cut, so one that is longer
+    is a part of its own.  No setting of the session is touched.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < n:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, min(n, at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
