@@ -67,13 +67,6 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: str
     return stored(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small enough for a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """``batches`` cut, in the worker, into parts of few enough rows and bytes of ``column``.
 

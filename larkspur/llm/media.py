@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import slices, stored
 
 BLOCK = 64
 ULAW, ALAW, IMA = 7, 6, 0x11
@@ -132,10 +132,9 @@ def store_payloads(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     The UTF-8 text (null: empty), padded with zero bytes to a positive multiple
     of 64, becomes the samples of a mu-law WAV file.
     """
-    small_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             media = [wav(t.ljust(max(BLOCK, -(-len(t) // BLOCK) * BLOCK), b"\0"), ULAW) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -148,11 +147,10 @@ def resampled(media: DataFrame, up: int = 2) -> DataFrame:
     """``media`` with ``pcm``: its samples at ``up`` times the rate, as 16-bit PCM bytes."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for i, m in enumerate(batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([None if m is None else resample(to_pcm(m), up).tobytes()], pa.binary())], ["doc_id", "pcm"])
 
-    small_batches(media.sparkSession)
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(expand, "doc_id long, pcm binary")
 
 
@@ -166,19 +164,10 @@ def describe(media: DataFrame) -> DataFrame:
     ``feature`` joins the summed loudness of the samples taken as mu-law, as
     A-law and as IMA ADPCM blocks, and the CRC-32 of the resampled PCM.
     """
-    small_batches(media.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            files = batch.column(2).to_pylist()
-            start = 0
-            while start < len(files):  # about 8 MB of samples at a time
-                stop, held = start, 0
-                while stop < len(files) and (stop == start or held + len(files[stop]) <= 8 << 20):
-                    held += len(files[stop])
-                    stop += 1
-                yield part(batch.slice(start, stop - start), files[start:stop])
-                start = stop
+        for batch in slices(batches, 2, size=8 << 20):
+            yield part(batch, batch.column(2).to_pylist())
 
     def part(batch: pa.RecordBatch, files: list[bytes]) -> pa.RecordBatch:
         payloads = [read_wav(m)[1] for m in files]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, stored
+from .common import mix64, slices, stored
 from .components import connected_components, forest
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -60,10 +60,9 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; ``fp`` has the fingerprint's bits as a signed long."""
-    small_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             values = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
@@ -190,10 +189,9 @@ def bit_distance(similarity: float) -> float:
 
 def long_fingerprints(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
     """(doc_id, f0, ...): independent SimHashes of the same shingles."""
-    small_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = np.zeros((batch.num_rows, LONG), np.uint64)
             for i, t in enumerate(batch.column(1).to_pylist()):
                 hashes = shingle_hashes(t, width)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, keyed, mix64, small_batches, stored
+from .common import WordHasher, keyed, mix64, slices, stored
 
 #: Up to this many ids are broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -79,7 +79,7 @@ def _first_level(rows: DataFrame, length: int) -> DataFrame:
     """(key, repeated array): per document the samples that repeat somewhere."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             hashes, keys, often = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _hasher().words((text or "").encode())[2]
@@ -148,7 +148,7 @@ def _second_level(rows: DataFrame, length: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["m", "w", "key", "start", "known"]
-        for batch in batches:
+        for batch in slices(batches, 1):
             parts = []
             for key, text, repeated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = _hasher().words(text.encode())[2]
@@ -205,7 +205,6 @@ def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_
     words.  Rows whose id repeats or lacks are documents of their own, in the
     order of (id, text).
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = keyed(rows, "text", "doc_id", "key")
     digests = stored(rows.select("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "digests")
@@ -236,7 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", doc_id
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             columns: list[list] = [[] for _ in names]
             for doc, text, copy, single, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or "").encode().split()

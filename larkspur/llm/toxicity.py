@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, small_batches
+from .common import WordHasher, slices
 
 #: Word hashes map to this many embeddings; number 0 is the padding.
 BUCKETS = 1 << 16
@@ -272,10 +272,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     some = [marks.where(F.col("_label") == v).orderBy("_order", "_id").limit(n) for v, n in ((1, most_positive), (0, most_negative))]
     # At most most_positive + most_negative ids are broadcast.
     sample = F.broadcast(some[0].unionByName(some[1]))
-    small_batches(spark)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             ids = [x.tobytes() for x in word_ids(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["id", "label", "ids"])
 
@@ -300,14 +299,15 @@ def scores(model: Model, texts: list[str | None], tables: dict | None = None) ->
 
 def score_column(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with ``score``; the model (5 MB whatever the corpus) is broadcast."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = sent.value.tables()
         for batch in batches:
-            yield pd.Series(scores(sent.value, batch.tolist(), tables))
+            texts = batch.tolist()
+            parts = [scores(sent.value, texts[at : at + 1000], tables) for at in range(0, len(texts), 1000)]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     return docs.withColumn(name, score(F.col(text).cast("string")))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import slices, stored
 
 CHUNK = 64 * 1024
 #: Size of an archive's stored pieces.
@@ -84,7 +84,6 @@ def write_archives(planned: DataFrame, archive_bytes: int = 64 << 20) -> DataFra
     record may cross pieces but no archive.  An archive's name tells its task, so a task that is run again
     writes the same archives.
     """
-    small_batches(planned.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -99,7 +98,7 @@ def write_archives(planned: DataFrame, archive_bytes: int = 64 << 20) -> DataFra
             piece += 1
             return out
 
-        for batch in batches:
+        for batch in slices(batches, 2):
             for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 for chunk in _record(row[0], row[1], row[2] or "", row[3], row[4]):
                     held += chunk
@@ -189,11 +188,10 @@ def read_archives(archives: DataFrame, chunks: bool = False) -> DataFrame:
     its header's figures stand.  Chunk rows carry the record's id, the chunk's
     number and bytes.  An archive is read by one task, in order of its pieces.
     """
-    small_batches(archives.sparkSession, 16)
 
     def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, reader = None, Reader()
-        for batch in batches:
+        for batch in slices(batches, 2, 16):
             rows: list[tuple] = []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if name != current:
