@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.errors import InvalidInput
 from larkspur.functions import variants as V
 from larkspur.functions.pointers import parse_pointer
+from larkspur.operators.write import check_target
 
 _KINDS = {
     "array": lambda v: isinstance(v, list),
@@ -78,9 +80,10 @@ def reference_error(record: dict, relationships: dict[str, dict]) -> str | None:
             found = parse_pointer(value) if isinstance(value, str) and value.startswith("@") else None
             if found is None:
                 return f"{field} must hold pointers"
-            target = rule.get("target_drawer")
-            if target and found[0] != target and not found[0].endswith(f"_{target}"):
-                return f"{field} must point into {target}, not {found[0]}"
+            try:
+                check_target(field, rule, found[0])
+            except InvalidInput as wrong:
+                return str(wrong)
     return None
 
 
@@ -97,6 +100,17 @@ def duplicate_keys(rows: DataFrame, key: Column) -> DataFrame:
     return rows.select(key.alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def taken_keys(batch: DataFrame, old: DataFrame, key: Column) -> DataFrame:
+    """(key, n): values of the batch's rows that another of its rows has, or a row of ``old`` that is not replaced.
+
+    Only the batch's keys are grouped; of ``old`` the rows that have one of them are looked up.
+    """
+    mine = batch.select(key.alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("mine"))
+    theirs = old.select("_id", key.alias("key")).where("key IS NOT NULL").join(mine, "key", "left_semi").join(batch.select("_id"), "_id", "left_anti")
+    theirs = theirs.groupBy("key").agg(F.count("*").alias("theirs"))
+    return mine.join(theirs, "key", "left").select("key", (F.col("mine") + F.coalesce("theirs", F.lit(0))).alias("n")).where("n > 1")
+
+
 def unique_violations(rows: DataFrame, field: str, key: str = "_id") -> DataFrame:
     """(key, field): rows of a typed collection whose value another row has too."""
     again = duplicate_keys(rows, F.col(field)).select(F.col("key").alias("_dup"))

@@ -7,6 +7,7 @@ orders mixed documents, and page metadata need an action, of one row each.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -194,15 +195,16 @@ def prune_value(value: Any, exclusive: bool, paths: list[str], prefix: str = "")
 def edit_documents(df: DataFrame, doc: str, edit, *more: str) -> DataFrame:
     """``df`` with each document replaced by ``edit(value, *others)``, Arrow batch by batch.
 
-    VARIANT has no functions that remove or replace a nested field.
+    VARIANT has no functions that remove or replace a nested field.  Numbers
+    keep their kind: fractions come and go as Decimal.
     """
 
     @F.pandas_udf("string")
     def edited(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([None if row[0] is None else json.dumps(edit(json.loads(row[0]), *row[1:])) for row in zip(*batch, strict=True)])
+            yield pd.Series([None if row[0] is None else V.dumps(edit(V.loads(*row[:2]), *row[2:])) for row in zip(*batch, strict=True)], dtype=object)
 
-    text = edited(F.to_json(F.col(doc)), *[F.col(c) for c in more] or [F.lit("")])
+    text = edited(F.to_json(F.col(doc)), V.fractional(F.col(doc)), *[F.col(c) for c in more] or [F.lit("")])
     return df.withColumn(doc, F.parse_json(text))
 
 
@@ -223,18 +225,58 @@ def exists(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
 
 
-def by_pointers(df: DataFrame, keys: list[str]) -> DataFrame:
+#: Up to so many keys go to the scan as a list.
+LISTED_KEYS = 1000
+
+
+def typed_keys(kind: T.DataType, texts: list[str]) -> list | None:
+    """The keys whose text is one of ``texts``; None for kinds whose text does not tell."""
+    if isinstance(kind, T.StringType):
+        return texts
+    if isinstance(kind, T.IntegralType):
+        bits = {"byte": 8, "short": 16, "integer": 32}.get(kind.typeName(), 64)
+        found = [int(t) for t in texts if re.fullmatch(r"0|-?[1-9]\d{0,18}", t)]
+        return [k for k in found if -(1 << bits - 1) <= k < 1 << bits - 1]
+    return None
+
+
+def by_key_of(df: DataFrame, expected: Any, key: str | None) -> DataFrame:
+    """``df`` cut down to rows whose ``key`` can have the ``_id`` that a query asks for, in a form that scans take.
+
+    The condition on ``_id`` itself, a text of the key, would read every row.
+    """
+    texts = [expected] if isinstance(expected, str) else None
+    if isinstance(expected, dict):
+        texts = [expected["$eq"]] if isinstance(expected.get("$eq"), str) else expected.get("$in") if isinstance(expected.get("$in"), list) else None
+    plain = key and texts and len(texts) <= LISTED_KEYS and all(isinstance(t, str) and not set(t) & set("%@/:") and not t.startswith("lnk_") for t in texts)
+    found = typed_keys(df.schema[key].dataType, texts) if plain else None
+    return df if found is None else df.where(F.col(f"`{key}`").isin(found) if len(found) > 1 else F.col(f"`{key}`") == F.lit(found[0]) if found else F.lit(False))
+
+
+def by_pointers(df: DataFrame, keys: list[str], key: str | None = None) -> DataFrame:
     """Rows of ``keys`` in their order; keys without a row are left out, repeated ones repeat.
 
-    The request's own keys are the small side.
+    The request's own keys are the small side.  ``key`` names the typed column
+    whose text is ``_id``, so that the scan can skip what is not asked for.
     """
+    if key:
+        df = by_key_of(df, {"$in": keys}, key)
     wanted = df.sparkSession.createDataFrame([(i, k) for i, k in enumerate(keys)], "_pos long, _want string")
     side = F.broadcast(wanted) if len(keys) <= 100_000 else wanted
     return df.join(side, df["_id"] == F.col("_want")).orderBy("_pos").drop("_pos", "_want")
 
 
-def secondary_lookup(df: DataFrame, field: str, key: str) -> DataFrame:
-    """Rows whose field equals a key; one that reads as a whole number matches numbers too."""
+def secondary_lookup(df: DataFrame, field: str, key: str, doc: str | None = None) -> DataFrame:
+    """Rows whose field equals a key; one that reads as a whole number matches numbers too.
+
+    With ``doc`` the field is a dotted path in documents of that column.
+    """
+    if doc is not None:
+        value = V.get(F.col(doc), field.split("."))
+        same = (V.kind(value) == "STRING") & (V.as_type(value, "string") == F.lit(key))
+        if re.fullmatch(r"-?\d{1,18}", key):
+            same = same | (V.is_integer(value) & (V.as_type(value, "long") == F.lit(int(key))))
+        return df.where(F.coalesce(same, F.lit(False)))
     kind = df.schema[field].dataType
     if isinstance(kind, T.NumericType):
         try:

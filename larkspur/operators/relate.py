@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import pointers as P
+from larkspur.functions import variants as V
 from larkspur.operators.read import edit_documents
 
 @dataclass(frozen=True)
@@ -182,7 +183,7 @@ def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude:
     level = 0
     while found is None or (depth is None or level < depth) and not frontier.isEmpty():
         got = frontier.join(every, "pointer").select("_id", "pointer", F.col("doc"))
-        got = checkpointed(got.select("_id", "pointer", F.to_json("doc").alias("text"))).withColumn("doc", F.parse_json("text"))
+        got = checkpointed(got.select("_id", "pointer", V.text(F.col("doc")).alias("text"))).withColumn("doc", F.parse_json("text"))
         part = got.select("_id", F.struct("pointer", "text").alias("hit"))
         found = part if found is None else found.unionByName(part)
         level += 1
@@ -194,7 +195,7 @@ def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude:
     met = df.join(lists, df["_id"] == F.col("_row"), "left")
 
     def edit(value: dict, hits: str | None, own: str) -> dict:
-        records = {k: json.loads(v) for k, v in json.loads(hits).items()} if hits else {}
+        records = {k: V.loads(v) for k, v in json.loads(hits).items()} if hits else {}
         return substitute(value, records, excluded, with_ids, depth, (own,))
 
     met = met.withColumn("_own", F.concat(F.lit(f"@{collection}:"), F.col("_id")))
@@ -206,17 +207,15 @@ def attach_virtual(df: DataFrame, collection: str, rule: Relationship, children:
 
     ``shown`` leaves out of the children what readers don't see, such as the back-link itself.
     """
-    from larkspur.functions import variants as V
-
     value = V.get(F.col("doc"), rule.mapped_by.split("."))
     parent = F.when(V.kind(value) == "STRING", V.as_type(value, "string"))
     key = F.when(P.pointer_collection(parent) == F.lit(collection), P.pointer_key(parent))
     mine = shown(children.withColumn("_row", key).where("_row IS NOT NULL"))
-    lists = mine.select("_row", F.struct("_seq", F.to_json("doc").alias("t")).alias("s"))
+    lists = mine.select("_row", F.struct("_seq", V.text(F.col("doc")).alias("t")).alias("s"))
     lists = lists.groupBy("_row").agg(F.to_json(F.array_sort(F.collect_list("s")).getField("t")).alias("_kids"))
     met = df.join(lists, df["_id"] == F.col("_row"), "left")
 
     def edit(doc: dict, kids: str | None) -> dict:
-        return {**doc, rule.field: [json.loads(k) for k in json.loads(kids)] if kids else []}
+        return {**doc, rule.field: [V.loads(k) for k in json.loads(kids)] if kids else []}
 
     return edit_documents(met, "doc", edit, "_kids").select(*df.columns)

@@ -87,14 +87,27 @@ def target_of(record: dict, drawer: str | None) -> str:
     return drawer or own
 
 
+def allowed_targets(rule: dict) -> list[str]:
+    """The collections that a declared field may point into; none means any."""
+    return [t for t in (rule.get("target_drawer"), *(rule.get("target_drawers") or ())) if t]
+
+
+def check_target(field: str, rule: dict, collection: str | None) -> None:
+    allowed = allowed_targets(rule)
+    if allowed and not any(collection == t or (collection or "").endswith(f"_{t}") for t in allowed):
+        raise InvalidInput(f"{field} must point into {' or '.join(allowed)}, not {collection}")
+
+
 def decompose(record: dict, drawer: str, metas: dict[str, dict], namespace: str | None = None) -> list[tuple[str, dict]]:
     """A record and the records nested in it, children first, as (collection, record).
 
     A nested object with an ``_id`` becomes a pointer if its id is one or its
     field has a declared target, and a child record of its own if it has other
     fields too; without one it stays.  Children of 1:M fields get the field
-    ``mapped_by`` that points back, and nothing is stored with the parent.  A
-    pointer into another collection than a declared target is refused.
+    ``mapped_by`` that points back, and nothing is stored with the parent.
+    Plain ids in a declared field become pointers into its target.  A pointer
+    into another collection than the declared ``target_drawer`` or one of
+    ``target_drawers`` is refused.
     """
     rules = metas.get(drawer, {}).get("relationships", {})
     record = dict(record)
@@ -108,8 +121,7 @@ def decompose(record: dict, drawer: str, metas: dict[str, dict], namespace: str
         found = P.parse_pointer(given) if isinstance(given, str) else None
         named = given[1:] if isinstance(given, str) and given.startswith("@") and ":" not in given else None
         collection = found[0] if found else named or target
-        if target and collection != target and not collection.endswith(f"_{target}"):
-            raise InvalidInput(f"{field} must point into {target}, not {collection}")
+        check_target(field, rule, collection)
         if given is None and not (back and target) or collection is None:
             return walk(value, field, top=False)
         child = dict(value)
@@ -146,10 +158,13 @@ def decompose(record: dict, drawer: str, metas: dict[str, dict], namespace: str
             return reference(value, path, rule, None) if "_id" in value else walk(value, path, top=False)
         if isinstance(value, list):
             return [step(v, path, rule) for v in value]
-        if isinstance(value, str) and value.startswith("@") and rule.get("target_drawer"):
-            found = P.parse_pointer(value)
-            if found and found[0] != rule["target_drawer"] and not found[0].endswith(f"_{rule['target_drawer']}"):
-                raise InvalidInput(f"{path} must point into {rule['target_drawer']}, not {found[0]}")
+        if isinstance(value, str):
+            found = P.parse_pointer(value) if value.startswith("@") else None
+            if found:
+                check_target(path, rule, found[0])
+                return P.format_pointer(P.scoped(found[0], namespace), found[1])
+            if rule.get("target_drawer") and str(rule.get("type", "")).lower() != "polymorphic" and not value.startswith("@"):
+                return P.normalize(rule["target_drawer"], value, namespace)
         return value
 
     body = walk({k: v for k, v in record.items() if k != "_id"}, "", top=True)

@@ -9,15 +9,18 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.errors import ConstraintViolation, InvalidInput, NotFound
 from larkspur.functions import pointers as P
+from larkspur.functions import variants as V
 from larkspur.operators import constraints, delete, read, relate, write
 from larkspur.plans.filters import Filter, Selection
 from larkspur.plans.options import Options
@@ -42,6 +45,7 @@ class Engine:
         self.spark = spark
         self.store = Store(spark, root) if root else None
         self._typed: dict[str, tuple[DataFrame, dict]] = {}
+        self._keys: dict[str, str] = {}
 
     # Typed collections
 
@@ -49,6 +53,7 @@ class Engine:
         """``df`` as collection ``name``; its ``_id`` is the text of ``key``."""
         if key is not None:
             df = df.withColumn("_id", F.col(key).cast("string"))
+            self._keys[name] = key
         self._typed[name] = (df, {"pointers": pointers, "targets": targets or {}})
         return self
 
@@ -82,9 +87,11 @@ class Engine:
 
     def _selected(self, chosen: Selection, name: str) -> DataFrame:
         df = self.frame(name)
+        key = self._keys.get(name)
         if chosen.pointers:
-            df = read.by_pointers(df, [P.parse_pointer(p)[1] for p in chosen.pointers])
+            df = read.by_pointers(df, [P.parse_pointer(p)[1] for p in chosen.pointers], key)
         if chosen.query:
+            df = read.by_key_of(df, chosen.query.get("_id"), key)
             df = where(df, chosen.query, collection=name, **self._typed[name][1])
         return df
 
@@ -136,11 +143,20 @@ class Scope:
     def _name(self, drawer: str) -> str:
         return P.scoped(drawer, self.namespace)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """``df`` written to the store's work folder: later steps see fixed rows."""
-        path = f"{self.store.root}/_work/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    @contextmanager
+    def _work(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Keeps frames, written to a folder of this request alone, until it is over: later steps see fixed rows."""
+        folder = f"{self.store.root}/_work/{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield keep
+        finally:
+            self.store.files.delete(folder)
 
     # Reads
 
@@ -246,9 +262,19 @@ class Scope:
         return read.edit_documents(df, "doc", strip)
 
     def count(self, selection: Any, options: Any = None, **more: Any) -> int:
-        chosen = Selection.of(selection)
+        chosen, drawers = Selection.of(selection), self._state()[1]
         name = self._name(chosen.target())
-        return read.count(self._selected(chosen, name, self._state()[1]), Options.of(options, **more), "doc")
+        if drawers and name not in drawers:
+            raise NotFound(f"no collection {name}")
+        return read.count(self._selected(chosen, name, drawers), Options.of(options, **more), "doc")
+
+    def lookup(self, drawer: str, field_name: str, key: str) -> DataFrame:
+        """Documents whose ``field_name`` is the scalar that ``key`` reads as: a secondary key's lookup."""
+        drawers = self._state()[1]
+        name = self._name(drawer)
+        if name not in drawers:
+            raise NotFound(f"no collection {name}")
+        return read.secondary_lookup(self.store.read(drawers[name]), field_name, key, "doc")
 
     # Writes
 
@@ -287,11 +313,11 @@ class Scope:
         if len(ids) > 1 and not opts.multi:
             raise InvalidInput("the query matches several records; set multi to change them all")
         changes = {k: v for k, v in payload.items() if k != "_id"}
-        changed = read.edit_documents(df, "doc", lambda value, _: {**value, **changes})
-        staged = changed.select(F.lit(name).alias("drawer"), "_id", F.to_json("doc").alias("text"), F.col("_seq").alias("pos"))
-        staged = self._keep(staged)
-        pointers = [P.format_pointer(name, r[0]) for r in staged.orderBy("pos").select("_id").collect()]  # the request's result
-        self._commit(staged, [name])
+        with self._work() as keep:
+            changed = read.edit_documents(df, "doc", lambda value, _: {**value, **changes})
+            staged = keep(changed.select(F.lit(name).alias("drawer"), "_id", F.col("_seq").alias("pos"), "doc"))
+            pointers = [P.format_pointer(name, r[0]) for r in staged.orderBy("pos").select("_id").collect()]  # the request's result
+            self._commit(staged, keep)
         return Upserted(pointers, False)
 
     def _store(self, records: list[dict], drawer: str | None) -> list[str]:
@@ -302,51 +328,87 @@ class Scope:
             record = dict(record)
             name = self._name(write.target_of(record, drawer))
             parts = write.decompose(record, name, metas, self.namespace)
-            staged += [(self._name(n), r["_id"], json.dumps(r), len(staged) + i) for i, (n, r) in enumerate(parts)]
+            staged += [(self._name(n), r["_id"], V.dumps(r), len(staged) + i) for i, (n, r) in enumerate(parts)]
             out.append(P.format_pointer(name, parts[-1][1]["_id"]))
         rows = self.spark.createDataFrame(staged, "drawer string, _id string, text string, pos long")
-        self._commit(rows, sorted({s[0] for s in staged}))
+        with self._work() as keep:
+            self._commit(rows.select("drawer", "_id", "pos", F.parse_json("text").alias("doc")), keep)
         return out
 
-    def upsert_frame(self, rows: DataFrame, drawer: str) -> int:
+    def upsert_frame(self, rows: DataFrame, drawer: str, order: str | None = None) -> int:
         """Store many records at once: ``rows`` has _id and doc (VARIANT), in any number.
 
-        References must be pointers already; a batch's last row of an id wins.
+        Records nested in them are stored too and plain ids of declared fields
+        become pointers, as for :meth:`upsert`; only rows for which that may
+        matter are looked at in Python.  Of rows with one id that with the
+        largest ``order`` wins, and among equals, or without an order, the one
+        whose text comes last.  Returns the number of rows.
+        """
+        name = self._name(drawer)
+        with self._work() as keep:
+            last = rows.select("_id", "doc", (F.col(order) if order else F.lit(0)).alias("_order"))
+            latest = Window.partitionBy("_id").orderBy(F.col("_order").desc(), F.to_json("doc").desc())
+            last = keep(last.withColumn("_nth", F.row_number().over(latest)))
+            staged = last.where("_nth = 1 OR _id IS NULL").repartitionByRange("_order", "_id").sortWithinPartitions("_order", "_id")
+            staged = keep(staged.select(F.lit(name).alias("drawer"), "_id", F.monotonically_increasing_id().alias("pos"), "doc"))
+            self._commit(self._decomposed(staged, name, keep), keep)
+            return last.count()
+
+    def _decomposed(self, staged: DataFrame, name: str, keep: Callable) -> DataFrame:
+        """``staged`` with nested records as rows of their own and references as pointers."""
+        metas = {n: e["meta"] for n, e in self._state()[1].items()}
+        namespace = self.namespace
+        nested = F.regexp_count(F.to_json("doc"), F.lit('"_id":')) > 1
+        involved = F.lit(bool(metas.get(name, {}).get("relationships"))) | nested | F.col("_id").isNull() | ~F.col("_id").rlike("^[^@:/]+$") | F.startswith("_id", F.lit("lnk_"))
+
+        def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for key, pos, text in zip(batch["_id"], batch["pos"], batch["text"], strict=True):
+                    record = V.loads(text)
+                    if key is not None:
+                        record["_id"] = key
+                    out += [(P.scoped(n, namespace), r["_id"], pos, V.dumps(r)) for n, r in write.decompose(record, name, metas, namespace)]
+                yield pd.DataFrame(out, columns=["drawer", "_id", "pos", "text"])
+
+        some = staged.where(involved)
+        if some.isEmpty():
+            return staged
+        taken = some.select("_id", "pos", V.text(F.col("doc")).alias("text")).mapInPandas(parts, "drawer string, _id string, pos long, text string")
+        return keep(staged.where(~involved).unionByName(taken.select("drawer", "_id", "pos", F.parse_json("text").alias("doc"))))
+
+    def _commit(self, staged: DataFrame, keep: Callable) -> None:
+        """Check the batch against every collection it touches, then publish all of it at once.
+
+        Each collection is written once; what was written for a refused batch
+        is never named by a manifest.
         """
-        staged = rows.select(F.lit(self._name(drawer)).alias("drawer"), "_id", F.to_json("doc").alias("text"), F.monotonically_increasing_id().alias("pos"))
-        staged = self._keep(staged)
-        n = staged.count()
-        self._commit(staged, [self._name(drawer)])
-        return n
-
-    def _commit(self, staged: DataFrame, names: list[str]) -> None:
-        """Check the batch against every collection it touches, then publish all of it at once."""
         m, drawers = self._state()
+        names = sorted(r[0] for r in staged.select("drawer").distinct().collect())  # collections, not rows
         written = {}
         for name in names:
             entry = drawers.get(name) or {"path": None, "meta": new_meta()}
             meta = entry["meta"]
             old = self.store.read(entry)
-            batch = write.last_of_each(staged.where(F.col("drawer") == name), "_id", "pos")
-            batch = batch.select("_id", "pos", F.parse_json("text").alias("doc"))
+            batch = write.last_of_each(staged.where(F.col("drawer") == name), "_id", "pos").select("_id", "pos", "doc")
             if meta["timestamps"]:
                 batch = self._stamped(batch, old)
+            batch = keep(batch)
             self._check_records(batch, meta, name)
+            self._check_unique(batch, old, meta, name)
             base = old.agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0] + 1
             kept = old.select("_id", F.col("_seq").alias("_kept"))
             new = batch.join(kept, "_id", "left").select("_id", F.coalesce("_kept", F.col("pos") + base).alias("_seq"), "doc")
-            written[name] = self._keep(write.replaced(old, new))
-            self._check_unique(written[name], meta, name)
-        for name, rows in written.items():
+            written[name] = self.store.write(m, write.replaced(old, new))
+        for name, path in written.items():
             entry = drawers.setdefault(name, {"path": None, "meta": new_meta()})
-            entry["path"] = self.store.write(self.database, self.schema, name, rows)
+            entry["path"] = path
             self._note_aliases(staged, name, entry["meta"])
             for parent in list(drawers.values()):
                 for rule in parent["meta"]["relationships"].values():
                     if rule.get("type") == "1:M" and rule.get("target_drawer") == name and rule.get("mapped_by") not in entry["meta"]["hidden"]:
                         entry["meta"]["hidden"].append(rule["mapped_by"])
         self.store.commit(m)
-        self.store.files.delete(f"{self.store.root}/_work")
 
     def _note_aliases(self, staged: DataFrame, name: str, meta: dict) -> None:
         """Undeclared top-level fields that hold pointers are remembered, not enforced."""
@@ -355,10 +417,11 @@ class Scope:
         def fields(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t: [k for k, v in json.loads(t).items() if isinstance(v, str) and v.startswith("@") and P.parse_pointer(v)])
 
-        found = staged.where(F.col("drawer") == name).select(F.explode(fields("text")).alias("f")).distinct().limit(1000).collect()
-        for row in found:
-            if row.f not in meta["relationships"]:
-                meta["aliases"].setdefault(row.f, {"type": "M:1", "polymorphic": True})
+        # Names of fields: they go into the manifest, all of them.
+        found = staged.where(F.col("drawer") == name).select(F.explode(fields(F.to_json("doc"))).alias("f")).distinct().collect()
+        for f in sorted(row.f for row in found):
+            if f not in meta["relationships"]:
+                meta["aliases"].setdefault(f, {"type": "M:1", "polymorphic": True})
 
     def _stamped(self, batch: DataFrame, old: DataFrame) -> DataFrame:
         """created_at is the old record's or the caller's; updated_at is now unless a new record brings its own."""
@@ -372,7 +435,7 @@ class Scope:
             created = json.loads(text).get("created_at", value.get("created_at", now))
             return {**value, "created_at": created, "updated_at": now}
 
-        return self._keep(read.edit_documents(met, "doc", edit, "_before").select("_id", "pos", "doc"))
+        return read.edit_documents(met, "doc", edit, "_before").select("_id", "pos", "doc")
 
     def _check_records(self, batch: DataFrame, meta: dict, name: str) -> None:
         schema, rules = meta["schema"], meta["relationships"]
@@ -387,14 +450,14 @@ class Scope:
 
             return texts.map(first)
 
-        bad = batch.select("_id", error(F.to_json("doc")).alias("e")).where("e IS NOT NULL").orderBy("_id").limit(1).collect()
+        bad = batch.select("_id", error(V.text(F.col("doc"))).alias("e")).where("e IS NOT NULL").orderBy("_id").limit(1).collect()
         if bad:
             raise ConstraintViolation(f"@{name}:{bad[0]._id}: {bad[0].e}")
 
-    def _check_unique(self, rows: DataFrame, meta: dict, name: str) -> None:
+    def _check_unique(self, batch: DataFrame, old: DataFrame, meta: dict, name: str) -> None:
         one_to_one = [f for f, r in meta["relationships"].items() if r.get("type") == "1:1"]
         for path in [*meta["unique"], *one_to_one]:
-            again = constraints.duplicate_keys(rows, constraints.scalar_key(F.col("doc"), path)).limit(1).collect()
+            again = constraints.taken_keys(batch, old, constraints.scalar_key(F.col("doc"), path)).limit(1).collect()
             if again:
                 raise ConstraintViolation(f"{name}.{path} must be unique; {again[0].key[2:]!r} comes {again[0].n} times")
 
@@ -426,13 +489,17 @@ class Scope:
             if name not in drawers:
                 return 0
             start = self._selected(chosen, name, drawers).select(F.lit(name).alias("drawer"), "_id")
-        start = self._keep(start)
+        with self._work() as keep:
+            return self._delete(start, m, drawers, keep)
+
+    def _delete(self, start: DataFrame, m: dict, drawers: dict, keep: Callable) -> int:
+        start = keep(start)
         addressed = start.count()
         if not addressed:
             return 0
         rules = delete.rules_of({n: e["meta"] for n, e in drawers.items()})
-        doomed, emptied = delete.closure(self.spark, start, rules, lambda r: self._edges(r, drawers), self._keep)
-        doomed, emptied = self._keep(doomed), self._keep(emptied)
+        doomed, emptied = delete.closure(self.spark, start, rules, lambda r: self._edges(r, drawers), keep)
+        doomed, emptied = keep(doomed), keep(emptied)
         touched = {r[0] for r in doomed.select("drawer").distinct().collect()} | {r[0] for r in emptied.select("drawer").distinct().collect()}
         for name in sorted(touched & drawers.keys()):
             rows = write.without_keys(self.store.read(drawers[name]), doomed.where(F.col("drawer") == name))
@@ -441,15 +508,12 @@ class Scope:
             met = rows.join(marks, rows["_id"] == marks["_row"], "left")
             plain = met.where("_marks IS NULL").select("_id", "_seq", "doc")
             cut = read.edit_documents(met.where("_marks IS NOT NULL"), "doc", _emptied, "_marks").select("_id", "_seq", "doc")
-            drawers[name]["path"] = self.store.write(self.database, self.schema, name, plain.unionByName(cut))
+            drawers[name]["path"] = self.store.write(m, plain.unionByName(cut))
         self.store.commit(m)
-        self.store.files.delete(f"{self.store.root}/_work")
         return addressed
 
     def _edges(self, rule: delete.Rule, drawers: dict) -> DataFrame:
         """(parent_drawer, parent_id, child, child_id) of a rule's references, at any depth of its field."""
-        from larkspur.functions import variants as V
-
         child = rule.parent if rule.forward else rule.child
         rows = self.store.read(drawers.get(child))
         value = V.get(F.col("doc"), rule.field.split("."))
@@ -491,7 +555,8 @@ class Scope:
             unique = not primary
         if unique and verb != "rebuild":
             if add and field_name not in meta["unique"]:
-                self._check_unique(self.store.read(drawers[name]), {"unique": [field_name], "relationships": {}}, name)
+                rows = self.store.read(drawers[name])
+                self._check_unique(rows, rows, {"unique": [field_name], "relationships": {}}, name)
                 meta["unique"].append(field_name)
             elif not add and field_name in meta["unique"]:
                 meta["unique"].remove(field_name)
@@ -536,12 +601,33 @@ class Scope:
                 raise NotFound(f"no collection {name}")
             if drawers[name]["path"]:
                 rows = self.store.read(drawers[name]).withColumn("_id", P.without_legacy_prefix(F.col("_id")))
-                drawers[name]["path"] = self.store.write(self.database, self.schema, name, rows)
+                drawers[name]["path"] = self.store.write(m, _migrated(rows))
         self.store.commit(m)
         self.store.collect_garbage()
         return {"bytes_before": before, "bytes_after": self.store.files.size(f"{self.store.root}/data")[0]}
 
 
+def _migrated(rows: DataFrame) -> DataFrame:
+    """Documents without the ``lnk_`` of old stores in ids and pointers, at any depth; others pass as they are."""
+    old = F.to_json("doc").rlike('"(@[^":]+:)?lnk_')
+
+    def fresh(value: Any) -> Any:
+        if isinstance(value, dict):
+            return {k: fresh(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [fresh(v) for v in value]
+        found = P.parse_pointer(value) if isinstance(value, str) and value.startswith("@") else None
+        return P.format_pointer(*found) if found else value
+
+    def edit(doc: dict, _: Any) -> dict:
+        out = fresh(doc)
+        if isinstance(out.get("_id"), str):
+            out["_id"] = out["_id"].removeprefix("lnk_")
+        return out
+
+    return rows.where(~old).unionByName(read.edit_documents(rows.where(old), "doc", edit).select(*rows.columns))
+
+
 def _emptied(doc: dict, marks: str) -> dict:
     """A document without pointers to records that are gone."""
     gone: dict[str, set[str]] = {}

@@ -88,6 +88,7 @@ class Store:
         return {"ok": True, "action": "create", "path": "/".join(p for p in (database, schema, drawer) if p)}
 
     def drop(self, database: str, schema: str | None = None, drawer: str | None = None) -> dict:
+        """Forget a name and all below it; what it held stays for readers until :meth:`collect_garbage`."""
         m = self.manifest()
         where = m["databases"] if schema is None else m["databases"].get(database, {})
         name = database if schema is None else schema
@@ -95,8 +96,6 @@ class Store:
             where, name = where.get(schema, {}), drawer
         removed = where.pop(name, None) is not None
         self.commit(m)
-        if removed:
-            self.files.delete(f"{self.root}/data/" + "/".join(p for p in (database, schema, drawer) if p))
         return {"ok": True, "action": "drop", "path": "/".join(p for p in (database, schema, drawer) if p), "removed": removed}
 
     def _schemas(self, m: dict, database: str) -> dict:
@@ -134,24 +133,31 @@ class Store:
             return self.spark.createDataFrame([], "_id string, _seq long, d string").select("_id", "_seq", F.parse_json("d").alias("doc"))
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{entry['path']}")
 
-    def write(self, database: str, schema: str, drawer: str, rows: DataFrame) -> str:
+    @staticmethod
+    def new_path(manifest: dict) -> str:
+        """A folder of its own for a snapshot made from ``manifest``, whatever it belongs to."""
+        return f"data/{manifest['version']:010d}-{uuid.uuid4().hex}"
+
+    def write(self, manifest: dict, rows: DataFrame) -> str:
         """A new snapshot, clustered by id so that lookups skip row groups."""
-        path = f"data/{database}/{schema}/{drawer}/{uuid.uuid4().hex}"
+        path = self.new_path(manifest)
         rows.select("_id", "_seq", "doc").repartitionByRange("_id").sortWithinPartitions("_id").write.parquet(f"{self.root}/{path}")
         return path
 
     def collect_garbage(self) -> list[str]:
-        """Delete snapshots that the manifest no longer names."""
+        """Delete snapshots that the manifest does not name.
+
+        Those made from the current version stay: their writer may yet commit.
+        Whoever wrote from an older one can't.
+        """
         m = self.manifest()
+        named = {e["path"] for schemas in m["databases"].values() for drawers in schemas.values() for e in drawers.values()}
         gone = []
-        for db, schemas in m["databases"].items():
-            for schema, drawers in schemas.items():
-                for drawer, entry in drawers.items():
-                    folder = f"data/{db}/{schema}/{drawer}"
-                    for name in self.files.names(f"{self.root}/{folder}"):
-                        if f"{folder}/{name}" != entry["path"]:
-                            self.files.delete(f"{self.root}/{folder}/{name}")
-                            gone.append(f"{folder}/{name}")
+        for name in self.files.names(f"{self.root}/data"):
+            made = re.match(r"(\d{10})-", name)
+            if f"data/{name}" not in named and made and int(made[1]) < m["version"]:
+                self.files.delete(f"{self.root}/data/{name}")
+                gone.append(f"data/{name}")
         return gone
 
     # Status
@@ -225,7 +231,7 @@ class Store:
             if body["scope"] == "schema":
                 target.clear()
             for drawer, entry in drawers.items():
-                path = entry["path"] and f"data/{db}/{schema}/{drawer}/{uuid.uuid4().hex}"
+                path = entry["path"] and self.new_path(m)
                 if path:
                     self.files.copy(f"{source}/{entry['path']}", f"{self.root}/{path}")
                 target[drawer] = {"path": path, "meta": entry["meta"]}

@@ -7,6 +7,7 @@ from larkspur.errors import ConstraintViolation, InvalidInput, NotFound, Restric
 from larkspur.operators.constraints import schema_error
 from larkspur.plans.filters import Filter
 from larkspur.session import Engine
+from larkspur.sources.store import new_meta
 
 
 def docs(df):
@@ -200,3 +201,112 @@ def test_stream_of_upserts(spark, scope, tmp_path):
     rows = spark.readStream.schema("_id string, t string").json(str(tmp_path / "in")).select("_id", F.parse_json("t").alias("doc"))
     upsert_stream(rows, scope, "d", str(tmp_path / "ck")).awaitTermination(120)
     assert by_id(scope, "d")["2"] == {"_id": "2", "v": 2}
+
+
+def test_edits_keep_the_kinds_of_numbers(spark, scope):
+    scope.upsert({"_id": "a", "y": 1.0, "n": 1, "in": {"z": [1.0, 2, 2.50, 0.1234567890123456789]}}, "num")
+    scope.upsert({"note": "x"}, ["num", {"n": 1}])
+    rows = spark.createDataFrame([("b", '{"_id":"b","y":1.0,"n":1}')], "_id string, t string").select("_id", F.parse_json("t").alias("doc"))
+    scope.upsert_frame(rows, "num")
+    assert [scope.count(["num", q]) for q in ({"y": 1.0}, {"y": 1}, {"n": 1}, {"n": 1.0})] == [2, 0, 2, 0]
+    assert scope.count(["num", {"in": {"z": [1.0, 2, 2.5, 0.1234567890123456789]}}]) == 1
+    scope.upsert({"_id": "r", "of": "@num:a"}, "ref")
+    inner = scope.read("@ref:r").select(F.schema_of_variant(F.variant_get("doc", "$.of.y", "variant")).alias("k")).first().k
+    assert inner.startswith("DECIMAL")
+    scope.alter("num", "add", "timestamp")
+    scope.upsert({"more": 2}, ["num", {"note": "x"}])
+    assert scope.count(["num", {"y": 1.0}]) == 2
+
+
+def test_drop_leaves_other_databases(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    for db in ("a", "a/b"):
+        e.create(db)
+        e.create(db, "b")
+        e.scope(f"{db}/b").upsert({"_id": "1", "in": db}, "d")
+    e.drop("a")
+    left = e.scope("a/b/b")
+    assert docs(left.read("d")) == [{"_id": "1", "in": "a/b"}]
+    gone = e.store.collect_garbage()
+    assert len(gone) == 1 and docs(left.read("d")) == [{"_id": "1", "in": "a/b"}]
+
+
+def test_garbage_leaves_what_may_yet_be_committed(scope):
+    scope.upsert({"_id": "1"}, "d")
+    m = scope.store.manifest()
+    path = scope.store.write(m, scope.documents("d"))
+    assert path not in scope.store.collect_garbage()
+    scope.upsert({"_id": "2"}, "d")
+    assert path in scope.store.collect_garbage() and scope.count("d") == 2
+
+
+def test_requests_have_work_folders_of_their_own(scope):
+    with scope._work() as keep:
+        mine = keep(scope.spark.range(3))
+        scope.upsert({"_id": "1"}, "d")
+        scope.delete("@d:1")
+        assert mine.count() == 3
+    assert scope.store.files.names(f"{scope.store.root}/_work") == []
+
+
+def test_plain_ids_of_declared_fields_become_pointers(spark, scope):
+    scope.engine.create("lib", "main", "book")
+    scope.alter("book", "add", "relationship", "author", {"type": "M:1", "target_drawer": "person"})
+    scope.alter("book", "add", "relationship", "tags", {"type": "M:M", "target_drawer": "tag"})
+    scope.alter("book", "add", "relationship", "about", {"type": "polymorphic", "target_drawers": ["person", "tag"]})
+    scope.upsert({"_id": "b", "author": "p1", "tags": ["x", "@tag:y"], "about": "@tag:x", "title": "p1"}, "book")
+    assert by_id(scope, "book")["b"] == {"_id": "b", "author": "@person:p1", "tags": ["@tag:x", "@tag:y"], "about": "@tag:x", "title": "p1"}
+    with pytest.raises(InvalidInput):
+        scope.upsert({"about": "@book:b"}, "book")
+    body = '{"author": {"_id": "@person:p2", "name": "Zed"}, "tags": ["lnk_z"], "n": 2.0}'
+    rows = [("c", body, 2), ("c", '{"n": 5}', 1), ("@book:e", '{"author": "p1"}', 1), (None, '{"n": 6}', 1), (None, '{"n": 7}', 1)]
+    frame = spark.createDataFrame(rows, "_id string, t string, at int").select("_id", "at", F.parse_json("t").alias("doc"))
+    assert scope.upsert_frame(frame, "book", "at") == 5
+    found = by_id(scope, "book")
+    assert found["c"] == {"_id": "c", "author": "@person:p2", "tags": ["@tag:z"], "n": 2} and found["e"] == {"_id": "e", "author": "@person:p1"}
+    assert len(found) == 5 and scope.count(["book", {"n": 2.0}]) == 1 and by_id(scope, "person") == {"p2": {"_id": "p2", "name": "Zed"}}
+
+
+def test_many_aliases_are_all_noted(scope):
+    scope.upsert({"_id": "1", **{f"f{i}": "@x:1" for i in range(1200)}}, "wide")
+    assert len(scope.inspect("wide")["meta"]["aliases"]) == 1200
+
+
+def test_old_prefixes_go_at_any_depth(spark, scope):
+    rows = spark.createDataFrame([('{"_id":"lnk_1","of":["@d:lnk_2",{"x":"@d:lnk_3"}],"note":"lnk_stays","n":1.0}',)], "t string")
+    m, drawers = scope._state()
+    drawers["d"] = {"path": scope.store.write(m, rows.select(F.lit("lnk_1").alias("_id"), F.lit(0).cast("long").alias("_seq"), F.parse_json("t").alias("doc"))), "meta": new_meta()}
+    scope.store.commit(m)
+    scope.compact("d")
+    assert by_id(scope, "d") == {"1": {"_id": "1", "of": ["@d:2", {"x": "@d:3"}], "note": "lnk_stays", "n": 1}} and scope.count(["d", {"n": 1.0}]) == 1
+
+
+def test_lookups_and_unknown_collections(scope):
+    scope.upsert([{"_id": "1", "code": 7}, {"_id": "2", "code": "7"}, {"_id": "3", "code": 7.0}, {"_id": "4", "in": {"code": "7"}}], "d")
+    assert sorted(r._id for r in scope.lookup("d", "code", "7").collect()) == ["1", "2"]
+    assert [r._id for r in scope.lookup("d", "in.code", "7").collect()] == ["4"]
+    for call in (lambda: scope.count("nope"), lambda: scope.lookup("nope", "a", "1")):
+        with pytest.raises(NotFound):
+            call()
+
+
+def test_unique_looks_at_the_batch_only(scope):
+    scope.upsert([{"_id": "1", "n": 1}, {"_id": "2", "n": 2}], "d")
+    scope.alter("d", "add", "constraint", "n", {"constraint": "unique"})
+    scope.upsert([{"_id": "1", "n": 2}, {"_id": "2", "n": 1}], "d")
+    for bad in ({"_id": "3", "n": 1}, [{"_id": "3", "n": 9}, {"_id": "4", "n": 9.0}]):
+        with pytest.raises(ConstraintViolation):
+            scope.upsert(bad, "d")
+    scope.upsert([{"_id": "5"}, {"_id": "6"}], "d")
+    assert scope.count("d") == 4
+
+
+def test_key_lookups_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id AS c_custkey", "string(id) AS name").write.parquet(str(tmp_path / "c"))
+    e = Engine(spark).attach("customer", spark.read.parquet(str(tmp_path / "c")), "c_custkey")
+    for selection in ([Filter.drawer("customer"), Filter.query({"_id": "7"})], "@customer:7", [Filter.drawer("customer"), Filter.query({"_id": {"$eq": "7"}})]):
+        df = e.read(selection)
+        assert "EqualTo(c_custkey,7)" in df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert [r.c_custkey for r in df.collect()] == [7]
+    assert e.count(["@customer:7", "@customer:07", "@customer:7", "@customer:x"]) == 2
+    assert e.count([Filter.drawer("customer"), Filter.query({"_id": {"$in": ["1", "2", "-0"]}})]) == 2 and e.count([Filter.drawer("customer"), Filter.query({"_id": "07"})]) == 0
