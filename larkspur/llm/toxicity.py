@@ -237,8 +237,13 @@ def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((scores[order[at]] + low) / 2)
 
 
-def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, least: int = 20) -> Model:
-    """Set thresholds by language; those with under ``least`` rows of a class share one."""
+def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, weight: int = 10) -> Model:
+    """Set thresholds by language.
+
+    A language's own threshold counts with its rows of the rarer class, the
+    one of all languages with ``weight`` rows; without both classes there is
+    only the latter.
+    """
     labels = np.asarray(labels)
     if model.constant is not None or not len(labels) or labels.min() == labels.max():
         return model
@@ -247,8 +252,8 @@ def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, least:
     every = _threshold(scores, labels)
     for i in range(len(LANGUAGES)):
         own = spoken == i
-        enough = own.any() and min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= least
-        model.shift[i] = _threshold(scores[own], labels[own]) if enough else every
+        n = min((labels[own] == 1).sum(), (labels[own] == 0).sum()) if own.any() else 0
+        model.shift[i] = float((n * _threshold(scores[own], labels[own]) + weight * every) / (n + weight)) if n else every
     return model
 
 
