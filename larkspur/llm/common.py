@@ -85,6 +85,27 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1000, siz
             at = stop
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with those columns renamed that have one of ``names``, and what each column is called now."""
+    taken = {c.lower() for c in (*df.columns, *names)}
+    now = {}
+    for c in df.columns:
+        now[c] = c
+        if c.lower() in {n.lower() for n in names}:
+            while now[c].lower() in taken:
+                now[c] = "_" + now[c]
+            taken.add(now[c].lower())
+    return df.select(*[F.col(f"`{c}`").alias(now[c]) for c in df.columns]), now
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

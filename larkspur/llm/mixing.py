@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import set_aside, stored, word_count
 
 #: Up to this many sources the table of rates is broadcast (about 10 MB).
 BROADCAST_SOURCES = 100_000
@@ -79,8 +79,13 @@ def mix_plan(
     return out.withColumn("copies", (whole + drawn).cast("long")).drop("mix_source")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken."""
-    planned = mix_plan(docs, **options)
-    keep = [c for c in docs.columns]
-    return planned.where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*keep)
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken.
+
+    Columns stay as they are, whatever their names.  Rows with null texts or of
+    sources without words are not taken; repeated rows are rows of their own.
+    """
+    own, now = set_aside(docs, ("size", "source_size", "target", "copies", "mix_source", "_copy"))
+    planned = mix_plan(own, now[text], now[source], now[doc_id], **options)
+    taken = planned.where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+    return taken.select(*[F.col(f"`{now[c]}`").alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, stored
+from .common import free_name, mix64, slices, stored
 from .components import connected_components, forest
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -329,9 +329,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seen:
 
     ``seen`` has (doc_id, component_id), by default those of
     :func:`near_duplicates`.  Only ids are compared, so texts move once.  Rows
-    that share the kept id stay together; rows without an id stay.
+    that share the kept id stay together; rows without an id stay.  Columns of
+    ``docs`` stay as they are, whatever their names.
     """
     seen = near_duplicates(docs, text, doc_id) if seen is None else seen
-    gone = seen.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
+    name = free_name(docs, "_gone")
+    gone = seen.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name))
     gone = stored(gone.distinct(), "gone").hint("merge")
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[doc_id].cast("long") == F.col(name), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, slices
+from .common import WordHasher, free_name, slices
 
 #: Word hashes map to this many embeddings; number 0 is the padding.
 BUCKETS = 1 << 16
@@ -303,7 +303,11 @@ def scores(model: Model, texts: list[str | None], tables: dict | None = None) ->
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with ``score``; the model (5 MB whatever the corpus) is broadcast."""
+    """``docs`` with ``score``; the model (5 MB whatever the corpus) is broadcast.
+
+    Null texts score as empty ones, repeated rows alike; a column of ``docs``
+    by the name of the score is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -318,6 +322,10 @@ def score_column(docs: DataFrame, model: Model, text: str = "text", name: str =
 
 
 def reject(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that score as toxic; columns stay as they are."""
+    """``docs`` without those that score as toxic; columns stay as they are, whatever their names.
+
+    Null texts score as empty ones; repeated rows go or stay alike.
+    """
     model = fit(docs, labels, text, doc_id, **options)
-    return score_column(docs, model, text, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    name = free_name(docs, "_toxicity")
+    return score_column(docs, model, text, name).where(F.col(name) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

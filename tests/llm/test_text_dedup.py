@@ -98,3 +98,22 @@ def test_suffix_ranks_follow_the_order_of_line_ids(spark):
     suffix = lambda r: [ids[(r.key, r.pos + k)] for k in range(3)]
     assert [suffix(r) for r in got] == sorted(suffix(r) for r in got) and {(r.key, r.pos, r.later) for r in got} == {(1, 1, False), (1, 2, False), (2, 0, True), (2, 1, True)}
     assert deep.select(F.count_distinct("rank")).first()[0] == 2
+
+
+def test_doubling_goes_on_until_no_suffix_repeats(spark):
+    run = "\n".join(f"l{i}" for i in range(21))
+    docs = spark.createDataFrame([(1, run), (2, "x\n" + run + "\ny"), (3, "l3\nl4\nl5\nl6\nq\nl9\nl10\nl11\nl12")], "_key long, text string")
+    table = lines.line_table(docs, "text", "_key")
+    levels = [(depth, level.count()) for depth, level in lines.suffix_levels(table, 3)]
+    assert [d for d, _ in levels] == [1, 2, 3, 6, 12] and levels[-1][1] == 2 * (21 - 12 + 1)
+    got = {(r.key, r.start, r.stop) for r in lines.repeated_runs(table, 4, 50).collect()}
+    assert got == {(2, 1, 22), (3, 0, 4), (3, 5, 9)}
+    assert lines.repeated_runs(table.where("false")).count() == 0
+
+
+def test_lines_leave_columns_of_any_name(spark):
+    rows = [(i, "the same long line of text here\nown", "a", 5, [1], 3) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _lines string, mask_key int, _key array<int>, n_lines int")
+    got = lines.remove_repeated_lines(docs)
+    assert got.columns == ["doc_id", "text", "_lines", "mask_key", "_key", "n_lines", "n_removed"]
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()][1] == (1, "own", "a", 5, [1], 2, 1)

@@ -120,3 +120,18 @@ def test_queries_match_their_sql(spark, name):
     got = queries.QUERIES[name](spark, str(data))
     want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_stages_leave_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs, labels, _ = corpus(spark, 300)
+    names = ["mix_source", "_copy", "_gone", "_lines", "_toxicity", "size", "Copies", "n_removed", "component_id", "_key"]
+    docs = docs.select("doc_id", "text", "source", "n_chars", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where("piece = 0").count() == 300
