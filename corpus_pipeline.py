@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import lines, mixing, packing, simhash, toxicity
-from larkspur.llm.common import stored, table
+from larkspur.llm.common import set_aside, stored, table
 from larkspur.llm.queries import tokenizer_path
 
 
@@ -20,25 +20,33 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, freed of later copies of long lines and of runs of lines; n_chars follows the text."""
-    out = lines.remove_repeated_lines(docs).select(*docs.columns)
+    """All documents, freed of later copies of long lines and of runs of lines; n_chars follows the text.
+
+    Null texts stay null, and other columns as they are whatever their names.
+    """
+    own, now = set_aside(docs, ("n_lines", "n_removed"))
+    out = lines.remove_repeated_lines(own).select(*[F.col(f"`{now[c]}`").alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 or more of their five-word shingles alike, by SimHash."""
+    """One document of each group of near copies: 0.8 or more of their five-word shingles alike, by SimHash.
+
+    Texts without words, null ones too, are copies of one another; rows without
+    an id stay, and columns as they are whatever their names.
+    """
     return simhash.keep_one(docs, seen=simhash.near_copies(docs, width=5, similarity=0.8))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks for."""
+    """Every document as often as its source's target asks for; null texts have no words and are not taken."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents with their places in training sequences."""
+    """Pieces of the mixed documents, copies included, with their places in training sequences; a null text is the end token alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
