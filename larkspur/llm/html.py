@@ -1,8 +1,8 @@
 """Main text of web pages from a stream of parser events.
 
-The standard library's parser yields blocks of text with the number of tags
-and the share of link text in each.  The ratio of text to tags, block by block,
-is smoothed with a Gaussian; its standard deviation is the threshold that
+The standard library's parser yields blocks of text, the lines of the page as it
+is shown, with the number of tags and the share of link text in each.  The ratio
+of text to tags, line by line, is smoothed with a Gaussian; its standard deviation is the threshold that
 clusters blocks into content and the rest, and the regions that hold most of
 the content are the article.  Within them all blocks stay, however short, but
 for parts whose element or name says that they are no article text.  Names are
@@ -12,6 +12,7 @@ weak evidence: one that would drop most of a page's content is passed over.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,6 +29,8 @@ DROPPED = frozenset(
     "script style head title template noscript svg math iframe object audio video canvas map form button select textarea "
     "input label fieldset nav aside footer menu dialog".split()
 )
+# Those of them that stand within lines: text goes on behind them.
+INLINE = frozenset("script style template noscript svg math iframe object audio video canvas map button select textarea label".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -51,6 +54,7 @@ WRAPPERS = frozenset("form fieldset dialog".split())
 #: So many times the content of the articles outside it outweighs a name.
 NAME_WEIGHT = 4
 _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_LONG_REFERENCE = re.compile(r"&#[0-9]{8,}")
 _NOT_SAID = frozenset("with has no without".split())
 
 
@@ -84,9 +88,10 @@ class Blocks(HTMLParser):
     def __init__(self, passed: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
-        self.open: list[tuple[str, bool | str, int, int, bool]] = []  # tag, aside, region, name, out
+        self.open: list[tuple[str, bool | str, int, int, bool, bool]] = []  # tag, aside, region, name, out, muted
+        self.standing: Counter[str] = Counter()  # open elements by tag
         self.passed, self.outer = passed, [0]
-        self.name, self.out = 0, False
+        self.name, self.out, self.muted = 0, False, False
         self.parts: list[str] = []
         self.tags = self.links = self.in_link = self.regions = 0
         self.aside: bool | str = False
@@ -116,9 +121,13 @@ class Blocks(HTMLParser):
                 break
         if tag in VOID:
             return
-        if tag not in BLOCKS and tag in DROPPED:
+        if tag not in BLOCKS and tag in DROPPED - INLINE:
             self.flush()
-        self.open.append((tag, self.aside, self.region, self.name, self.out))
+        self.open.append((tag, self.aside, self.region, self.name, self.out, self.muted))
+        self.standing[tag] += 1
+        if tag in INLINE:
+            self.muted = True
+            return
         said = says_aside(attrs)
         hidden = said is True and says_aside([a for a in attrs if a[0] not in ("class", "id", "role")])
         named = (bool(said) or tag in WRAPPERS) and not hidden and tag not in ("html", "body")
@@ -152,25 +161,41 @@ class Blocks(HTMLParser):
 
     def _close(self, at: int) -> None:
         self.flush()
-        self.in_link -= sum(o[0] == "a" for o in self.open[at:])
-        _, self.aside, self.region, self.name, self.out = self.open[at]
+        _, self.aside, self.region, self.name, self.out, self.muted = self.open[at]
+        self._drop(at)
+
+    def _drop(self, at: int) -> None:
+        for o in self.open[at:]:
+            self.standing[o[0]] -= 1
+            self.in_link -= o[0] == "a"
         del self.open[at:]
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if not self.standing[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in BLOCKS or tag in DROPPED or any(o[0] in BLOCKS or o[1] != self.aside for o in self.open[i:]):
+                if tag in BLOCKS or tag in DROPPED - INLINE or any(o[0] in BLOCKS or o[1] != self.aside for o in self.open[i:]):
                     self._close(i)
                 else:
-                    self.in_link -= sum(o[0] == "a" for o in self.open[i:])
-                    del self.open[i:]
+                    self.muted = self.open[i][5]
+                    self._drop(i)
                 return
             # an inline end tag does not end the block around it
             if tag not in BLOCKS and self.open[i][0] in BLOCKS:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """Sections of no known kind are comments."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
+        if self.muted:
+            return
         self.parts.append(data)
         if self.in_link > 0:
             self.links += len(data)
@@ -218,9 +243,30 @@ def passed_names(parser: Blocks) -> frozenset[int]:
     return frozenset(k for k in range(1, len(mass)) if 2 * mass[k] > mass[0] and (inside[k] or mass[k] > NAME_WEIGHT * articles))
 
 
+def _reference(found: re.Match) -> str:
+    """A numeric reference of many digits in few, or the sign for what is no character."""
+    digits = found[0][2:].lstrip("0") or "0"
+    return f"&#{digits}" if len(digits) < 8 else "&#65533"
+
+
+def closable(html: str) -> str:
+    """``html`` with what the parser cannot end as text: it would look for each end up to the page's.
+
+    That is tags behind the last ``>`` and comments and sections behind their
+    last end.  Numeric references of very many digits are put in few.
+    """
+    if _LONG_REFERENCE.search(html):
+        html = _LONG_REFERENCE.sub(_reference, html)
+    for begin, end in (("<!--", "--"), ("<![", "]]"), ("<", ">")):
+        at = html.rfind(end) + len(end)
+        if html.find(begin, at) >= 0:
+            html = html[:at] + html[at:].replace(begin, "&lt;" + begin[1:])
+    return html
+
+
 def _parsed(html: str, passed: frozenset[int] = frozenset()) -> Blocks:
     parser = Blocks(passed)
-    parser.feed(html)
+    parser.feed(closable(html))
     parser.close()
     parser.flush()
     return parser
@@ -261,7 +307,13 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages``; null html gives empty text."""
+    """(page_id, url, text, n_chars) of every row of ``pages``.
+
+    Null and empty html gives empty text, and so does html without an article;
+    broken markup is read as far as the parser goes, never refused.  Repeated
+    rows are rows of their own, null ids and urls stay null, and other columns
+    of ``pages`` are left behind whatever their names.
+    """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):

@@ -104,3 +104,85 @@ def test_files_and_broken_archives(spark, tmp_path):
         cut.close()
     with pytest.raises(ValueError):
         list(warc.Reader().feed(b"nonsense\r\n\r\n"))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>a<![foo[b]]>c</p>", "ac"),
+        ("<![foo[x", "<![foo[x"),
+        ("x<!['y", "x<!['y"),
+        ("<p>a <label>no</label> b <button>no</button> c<script>no</script></p>", "a b c"),
+        ("&#" + "9" * 5000 + ";x &#" + "0" * 5000 + "65;", "�x A"),
+        ("<p>x</p><a href='", "x\n<a href='"),
+    ],
+)
+def test_broken_markup(page, text):
+    assert html.main_text(page) == text
+
+
+def test_mutated_pages_are_read():
+    import random
+
+    rng = random.Random(11)
+    whole = f"<html><body class='x y'><nav><a href=a>a</a></nav><article><h1>T &amp; t</h1><p>{LONG}<p>b &#233; <!-- c --><label>l</label></article><script>var x;</script><footer>f</footer></body></html>"
+    bits = ["<![", "]]>", "<!--", "-->", "&#", "&#x", "<", "</", ">", "'", '"', "<svg>", "</label>", "<p", "<article>", "</article>", "\x00", "<!DOCTYPE [", "<?x", "<![if", "<title>"]
+    for _ in range(10_000):
+        page = whole
+        for _ in range(rng.randint(1, 10)):
+            i = rng.randrange(len(page) + 1)
+            page = page[:i] + rng.choice(bits) + page[i + rng.randint(0, 20) :]
+        assert isinstance(html.main_text(page), str)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 50_000, "<!--" * 50_000, "<!-- >" * 30_000, "<![CDATA[>" * 20_000, "<title>" * 20_000 + "</x>" * 20_000, "<a '" * 30_000 + ">", "<div>" * 50_000):
+        start = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - start < 5, page[:9]
+
+
+def brute_content(blocks):
+    """The lines whose smoothed text-to-tag ratio reaches the ratios' spread, by loops."""
+    import math
+
+    ratio = [(len(text) - links) / max(1, tags) for text, tags, links, *_ in blocks]
+    weight = [math.exp(-0.5 * d * d) for d in range(-3, 4)]
+    level = [sum(w * ratio[min(max(i + d, 0), len(ratio) - 1)] for w, d in zip(weight, range(-3, 4))) / sum(weight) for i in range(len(ratio))]
+    mean = sum(level) / len(level)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
+    return [x >= min(spread, max(level)) - 1e-9 for x in level]
+
+
+def test_clusters_match_brute_force():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        blocks = [["x" * rng.choice([3, 20, 300]), rng.randint(0, 9), 0] for _ in range(rng.randint(1, 40))]
+        for b in blocks:
+            b[2] = rng.choice([0, 0, len(b[0])])
+        assert html.content_blocks(blocks).tolist() == brute_content(blocks)
+
+
+def test_chunk_rows_carry_digests(spark):
+    rows, pages = pages_of(spark)
+    archives = warc.write_archives(warc.dedup_plan(pages.repartition(2)))
+    held = {}
+    for r in archives.orderBy("archive", "record", "chunk").collect():
+        held.setdefault((r.archive, r.record), []).append(r)
+    assert len(held) == len(rows)
+    for chunks in held.values():
+        assert [c.chunk for c in chunks] == list(range(len(chunks))) and all(len(c.data) <= warc.CHUNK for c in chunks[1:])
+        payload = b"".join(bytes(c.data) for c in chunks[1:-1])
+        assert [c["size"] for c in chunks[:-1]] == [sum(len(x.data) for x in chunks[1 : k + 1]) for k in range(len(chunks) - 1)]
+        assert all(c.sha1 is None for c in chunks[:-1])
+        if b"WARC-Type: response" in bytes(chunks[0].data):
+            assert chunks[-1].sha1 == hashlib.sha1(payload).hexdigest()
+        else:
+            assert chunks[-1].sha1 is None and not payload
+    twice = spark.createDataFrame([(1, "u", "z" * 2000), (1, "u", "z" * 2000), (None, "v", "z" * 2000)], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(warc.dedup_plan(twice))).collect()
+    assert [(r.record_type, r.refers_to) for r in got] == [("response", None)] * 3
