@@ -1,10 +1,13 @@
 """Media columns: telephony audio kept losslessly, expanded and resampled.
 
-8-bit companded samples live in WAV containers in a binary column.  Mu-law and
-A-law expand through 256-entry tables that are computed from their formulas;
-IMA ADPCM blocks are decoded with numpy, one step of all blocks at a time; PCM
-is resampled by linear interpolation.  A batch of rows is processed at once,
-and a row is never split, so memory is bounded by a batch and its longest row.
+8-bit companded samples live in WAV containers in a binary column, as they are
+or as resampled 16-bit PCM.  Mu-law and A-law expand through 256-entry tables
+that are computed from their formulas; IMA ADPCM blocks are decoded with numpy,
+one step of all blocks at a time; PCM is resampled by linear interpolation,
+which leaves the given samples in their places.  A-law codes all differ when
+expanded, so that PCM made of them leads back to every code.  A batch of rows
+is processed at once, and a row is never split, so memory is bounded by a batch
+and its longest row.
 """
 
 from __future__ import annotations
@@ -12,17 +15,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
 
 BLOCK = 64
-ULAW, ALAW, IMA = 7, 6, 0x11
+PCM, ALAW, ULAW, IMA = 1, 6, 7, 0x11
+#: Samples of stored PCM for each one given.
+UP = 2
 
 # Fixed values of the IMA ADPCM format.
 INDEX_STEPS = (-1, -1, -1, -1, 2, 4, 6, 8)
@@ -61,6 +67,9 @@ def ima_tables() -> tuple[np.ndarray, np.ndarray]:
 
 ULAW_TABLE, ALAW_TABLE = ulaw_table(), alaw_table()
 IMA_DIFFERENCE, IMA_NEXT = ima_tables()
+#: The A-law code of each 16-bit sample that is one expanded.
+ALAW_CODES = np.zeros(1 << 16, np.uint8)
+ALAW_CODES[ALAW_TABLE.view(np.uint16)] = np.arange(256)
 
 
 def decode_ima(blocks: np.ndarray) -> np.ndarray:
@@ -123,21 +132,54 @@ def to_pcm(media: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if kind == IMA:
         return decode_ima(raw[: len(raw) // BLOCK * BLOCK].reshape(-1, BLOCK)).ravel()
+    if kind == PCM:
+        return np.frombuffer(data, "<i2")
     return {ULAW: ULAW_TABLE, ALAW: ALAW_TABLE}[kind][raw]
 
 
-def store_payloads(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def payload_of(media: bytes) -> bytes:
+    """The samples that were stored: those of a companded file, or the A-law codes that PCM was made of."""
+    kind, data = read_wav(media)
+    return ALAW_CODES[np.frombuffer(data, "<u2")[::UP]].tobytes() if kind == PCM else data
+
+
+def padded(text: str | None) -> bytes:
+    """A text's UTF-8 bytes (null: none) and zero bytes up to a positive multiple of 64."""
+    data = (text or "").encode()
+    return data.ljust(max(BLOCK, -(-len(data) // BLOCK) * BLOCK), b"\0")
+
+
+def _expanded(data: bytes) -> bytes:
+    """A-law samples as a WAV file of 16-bit PCM at ``UP`` times the rate."""
+    pcm = resample(ALAW_TABLE[np.frombuffer(data, np.uint8)], UP)
+    return wav(pcm.astype("<i2").tobytes(), PCM, 8000 * UP, 16, 2)
+
+
+def store_pcm(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``n_bytes`` and ``media`` of every row, written and reread.
 
     The UTF-8 text (null: empty), padded with zero bytes to a positive multiple
-    of 64, becomes the samples of a mu-law WAV file.
+    of 64, is taken as A-law samples and stored as resampled 16-bit PCM in a WAV
+    file, from which :func:`payload_of` reads it back byte by byte.  Repeated
+    rows are rows of their own; other columns are left behind whatever their
+    names.
     """
+    return _stored_media(docs, text, doc_id, _expanded)
+
+
+def store_payloads(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The same with the payload as the samples of a mu-law WAV file."""
+    return _stored_media(docs, text, doc_id, lambda data: wav(data, ULAW))
+
+
+def _stored_media(docs: DataFrame, text: str, doc_id: str, form: Callable[[bytes], bytes]) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            media = [wav(t.ljust(max(BLOCK, -(-len(t) // BLOCK) * BLOCK), b"\0"), ULAW) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in slices(batches, 1, size=4 << 20):
+            texts = batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            media = pa.array([form(padded(t)) for t in texts.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, media], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return stored(rows.mapInArrow(pack, "doc_id long, n_bytes long, media binary"), "media")
@@ -162,7 +204,8 @@ def describe(media: DataFrame) -> DataFrame:
     """Digests and audio features of stored payloads, from the bytes read back.
 
     ``feature`` joins the summed loudness of the samples taken as mu-law, as
-    A-law and as IMA ADPCM blocks, and the CRC-32 of the resampled PCM.
+    A-law and as IMA ADPCM blocks, and the CRC-32 of the resampled PCM: that
+    which is stored, or that which a companded file gives.  Null ids stay null.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +213,7 @@ def describe(media: DataFrame) -> DataFrame:
             yield part(batch, batch.column(2).to_pylist())
 
     def part(batch: pa.RecordBatch, files: list[bytes]) -> pa.RecordBatch:
-        payloads = [read_wav(m)[1] for m in files]
+        payloads = [payload_of(m) for m in files]
         raw = np.frombuffer(b"".join(payloads), np.uint8)
         sizes = np.array([len(p) for p in payloads])
         bounds = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -178,7 +221,7 @@ def describe(media: DataFrame) -> DataFrame:
         blocks = np.abs(decode_ima(raw.reshape(-1, BLOCK)).astype(np.int32)).sum(axis=1, dtype=np.int64)
         ima = np.add.reduceat(blocks, bounds // BLOCK)
         loud, loud_a = _loudness(ulaw, bounds), _loudness(ALAW_TABLE[raw], bounds)
-        crc = [zlib.crc32(resample(ulaw[b : b + n]).tobytes()) for b, n in zip(bounds, sizes, strict=True)]
+        crc = [zlib.crc32(data if kind == PCM else resample(to_pcm(m)).tobytes()) for m, (kind, data) in zip(files, map(read_wav, files), strict=True)]
         feature = [f"u{a}-a{b}-i{c}-r{d:08x}" for a, b, c, d in zip(loud, loud_a, ima, crc, strict=True)]
         return pa.RecordBatch.from_arrays(
             [

@@ -67,7 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store_payloads(table(spark, sf_dir, "documents")))
+    return media.describe(media.store_pcm(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Query] = {
