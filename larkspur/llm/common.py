@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,13 +131,17 @@ class WordHasher:
     A word's bytes, through a table of random odd-seeded values, are the digits
     of a polynomial in an odd base modulo 2**64; prefix sums give each word's
     value, and multiplying by the base's inverse power makes it independent of
-    the word's place.  Callers that need certainty compare the words themselves.
+    the word's place.  Such a polynomial has collisions that can be built from
+    long regular words, so words above ``SHORT`` bytes are hashed one by one
+    with XXH64 instead.  Hashers of different seeds are independent.
     """
 
+    SHORT = 24
     BASE = 0x5851F42D4C957F2D
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
+        self.seed = seed
         self.digit = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
@@ -169,4 +174,7 @@ class WordHasher:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.digit[raw] * self.up[:n], out=total[1:])
         value = (total[end] - total[start]) * self.down[start]
-        return start, end, mix64(value ^ (end - start).astype(np.uint64))
+        hashes = mix64(value ^ (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > self.SHORT):
+            hashes[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], self.seed)
+        return start, end, hashes

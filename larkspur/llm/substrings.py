@@ -5,12 +5,14 @@ removed.  A window repeats only if its halves do, so the first level looks at
 half the length, and there only at one sample for each full window: the
 smallest hash among the half-length windows within it, which equal full
 windows share.  Full windows whose sample repeats are the candidates of the
-next level, where they are compared by 128 bits.  Longer windows cannot add
-to what is covered, so doubling stops at ``length``.
+next level, where they are compared by 128 bits: 64 of one hash of all their
+words, and 64 of the sample by another, independent one.  Longer windows cannot
+add to what is covered, so doubling stops at ``length``.
 
 Within an Arrow batch the earliest of equal windows stands for all and the
-others are known to be later copies, so a passage that very many documents
-share reaches a shuffle once per batch, not once per document.
+others are known to be later copies; what repeated in a batch is remembered by
+its task.  So a passage that very many documents share reaches a shuffle once
+per task, not once per document.
 """
 
 from __future__ import annotations
@@ -27,14 +29,20 @@ from .common import WordHasher, keyed, mix64, slices, stored
 
 #: Up to this many ids are broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_HASHER: list[WordHasher] = []
+_HASHERS: dict[int, WordHasher] = {}
+_SIGN = np.uint64(1 << 63)  # lets signed keys be compared as unsigned ones
 _MIX = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F))
 
 
-def _hasher() -> WordHasher:
-    if not _HASHER:
-        _HASHER.append(WordHasher(20))
-    return _HASHER[0]
+def _hashed(text: str, which: int = 0) -> np.ndarray:
+    """Hashes of a text's words, by one of several independent hashes."""
+    hasher = _HASHERS.get(which) or _HASHERS.setdefault(which, WordHasher(20 + which))
+    return hasher.words(text.encode())[2]
+
+
+def _found(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places in ascending ``known`` of what may be there: compare what is found with what was wanted."""
+    return np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
 
 
 def windows(words: np.ndarray, n: int) -> np.ndarray:
@@ -79,10 +87,11 @@ def _first_level(rows: DataFrame, length: int) -> DataFrame:
     """(key, repeated array): per document the samples that repeat somewhere."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)  # hashes that repeated in a batch of this task
         for batch in slices(batches, 1):
             hashes, keys, often = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _hasher().words((text or "").encode())[2]
+                words = _hashed(text or "")
                 if len(words) < length:
                     continue
                 half = (length + 1) // 2
@@ -100,11 +109,14 @@ def _first_level(rows: DataFrame, length: int) -> DataFrame:
             first = np.append(True, h[1:] != h[:-1])
             group = np.cumsum(first) - 1
             many = np.bincount(group, weights=n)[group] > 1
+            again = seen[_found(seen, h)] == h if len(seen) else np.zeros(len(h), bool)
             # One row for each hash that is single here; those known to repeat go by document.
-            single = ~many
+            single = ~many & ~again
             lone = pa.array([None] * int(single.sum()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(h[single].view(np.int64)), pa.array(k[single]), lone], ["h", "key", "known"])
-            lead = many & first  # for other batches' sake
+            lead = many & first & ~again  # for other tasks' sake
+            seen = np.sort(np.concatenate([seen, h[lead]]))
+            many |= again
             yield pa.RecordBatch.from_arrays([pa.array(h[lead].view(np.int64)), pa.array(k[lead]), pa.array([None] * int(lead.sum()), pa.list_(pa.int64()))], ["h", "key", "known"])
             h, k = h[many], k[many]
             by_doc = np.argsort(k, kind="stable")
@@ -148,21 +160,39 @@ def _second_level(rows: DataFrame, length: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["m", "w", "key", "start", "known"]
+        seen = np.zeros((5, 0), np.uint64)  # of windows that repeated in a batch of this task: a hash to find them by, m, w, earliest key and start
         for batch in slices(batches, 1):
             parts = []
             for key, text, repeated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = _hasher().words(text.encode())[2]
-                least = samples(words, length)
+                least = samples(_hashed(text), length)
                 wanted = np.sort(repeated.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)] == least)
                 if len(at):
-                    parts.append((least[at], windows(words, length)[at], np.full(len(at), key), at))
+                    parts.append((least[at], windows(_hashed(text, 1), length)[at], np.full(len(at), key), at))
             if not parts:
                 continue
             m, w, k, s = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((s, k, m, w))
             m, w, k, s = m[order], w[order], k[order], s[order]
             later = np.append(False, (w[1:] == w[:-1]) & (m[1:] == m[:-1]))
+            first = np.flatnonzero(~later)
+            many = np.diff(np.append(first, len(w))) > 1
+            ids = mix64(w[first]) ^ m[first]
+            if seen.shape[1]:
+                at = _found(seen[0], ids)
+                same = (seen[0, at] == ids) & (seen[1, at] == m[first]) & (seen[2, at] == w[first])
+                key, start = k[first], s[first]
+                before = key.astype(np.uint64) ^ _SIGN, start.astype(np.uint64)
+                after = same & ((before[0] > seen[3, at]) | ((before[0] == seen[3, at]) & (before[1] > seen[4, at])))
+                later[first[after]] = True
+                # An earlier one takes the place of that which is remembered.
+                better = np.flatnonzero(same & ~after)
+                seen[3, at[better]], seen[4, at[better]] = before[0][better], before[1][better]
+                many &= ~same
+            new = first[many]
+            more = np.stack([ids[many], m[new], w[new], k[new].astype(np.uint64) ^ _SIGN, s[new].astype(np.uint64)])
+            seen = np.concatenate([seen, more], axis=1)
+            seen = seen[:, np.argsort(seen[0], kind="stable")]
             lead = ~later
             none = pa.array([None] * int(lead.sum()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(m[lead].view(np.int64)), pa.array(w[lead].view(np.int64)), pa.array(k[lead]), pa.array(s[lead].astype(np.int32)), none], names)
@@ -230,7 +260,9 @@ def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_
 def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", doc_id: str = "doc_id", texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and on request ``kept``, the words left.
 
-    Kept words are joined by one space.
+    Kept words are joined by one space.  Null and empty texts have no words;
+    repeated rows are documents of their own, later ones copies; other columns
+    of ``docs`` are left behind whatever their names.
     """
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts
 

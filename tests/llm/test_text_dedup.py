@@ -117,3 +117,31 @@ def test_lines_leave_columns_of_any_name(spark):
     got = lines.remove_repeated_lines(docs)
     assert got.columns == ["doc_id", "text", "_lines", "mask_key", "_key", "n_lines", "n_removed"]
     assert [tuple(r) for r in got.orderBy("doc_id").collect()][1] == (1, "own", "a", 5, [1], 2, 1)
+
+
+def test_a_passage_of_very_many_documents_is_remembered_by_its_task(spark, monkeypatch):
+    from larkspur.llm import common
+
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        words = [f"{rng.randrange(50)}w" for _ in range(rng.randint(0, 12))]
+        cut = rng.randrange(5)
+        rows.append((i * 37 % 400, " ".join(words + passage[cut : cut + 24] + words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    small = lambda batches, column, rows=7, size=0: common.slices(batches, column, 7)
+    monkeypatch.setattr(substrings, "slices", small)
+    got = substrings.remove_repeats(docs, 10).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_windows(rows, 10)
+
+
+def test_words_that_a_polynomial_cannot_tell_apart():
+    from larkspur.llm.common import WordHasher
+
+    one, other = "a", "b"
+    for _ in range(12):  # Thue-Morse words: equal under any polynomial modulo 2**64
+        one, other = one + other, other + one
+    for seed in (20, 21):
+        hashes = WordHasher(seed).words(f"{one} {other} short shorter {one}".encode())[2]
+        assert len(set(hashes.tolist())) == 4 and hashes[0] == hashes[4]

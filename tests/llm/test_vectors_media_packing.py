@@ -171,3 +171,72 @@ def test_packing_matches_whole_text_tokens(spark):
     assert all([o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] for s in held.values())
     assert len(held) == best_fit_decreasing([r.length for r in pieces], 128)
     assert packing.pack_documents(docs.where("false"), tokenizer_path()).count() == 0
+
+
+def plain_alaw(code):
+    """A-law expansion by its definition, one code at a time."""
+    code ^= 0x55
+    size = (code & 15) << 4
+    exponent = (code >> 4) & 7
+    size = size + 8 if not exponent else (size + 0x108) << (exponent - 1)
+    return size if code & 0x80 else -size
+
+
+def plain_ulaw(code):
+    code = ~code & 0xFF
+    size = (((code & 15) << 3) + 0x84 << ((code >> 4) & 7)) - 0x84
+    return -size if code & 0x80 else size
+
+
+def test_stored_pcm_matches_brute_force(spark):
+    assert [int(x) for x in media.ALAW_TABLE] == [plain_alaw(c) for c in range(256)] and [int(x) for x in media.ULAW_TABLE] == [plain_ulaw(c) for c in range(256)]
+    texts = [None, "", "abc é " * 30, "".join(map(chr, range(1, 300))), "x" * 100_000, "abc é " * 30]
+    docs = spark.createDataFrame([(i if i != 4 else None, t, b"1", 2) for i, t in enumerate(texts)], "doc_id long, text string, media binary, n_bytes int").repartition(2)
+    stored = media.store_pcm(docs)
+    files = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    got = {r.doc_id: r for r in media.describe(stored).collect()}
+    for i, text in enumerate(texts):
+        i = i if i != 4 else None
+        data = (text or "").encode()
+        padded = data + bytes(-len(data) % 64 or (0 if data else 64))
+        wide = [plain_alaw(b) for b in padded]
+        pcm = [v for k, x in enumerate(wide) for v in (x, (x + wide[min(k + 1, len(wide) - 1)]) // 2)]
+        kind, held = media.read_wav(files[i])
+        assert kind == media.PCM and np.frombuffer(held, "<i2").tolist() == pcm and media.payload_of(files[i]) == padded
+        loud = sum(abs(plain_ulaw(b)) for b in padded), sum(map(abs, wide)), sum(abs(v) for at in range(0, len(padded), 64) for v in plain_ima(padded[at : at + 64]))
+        r = got[i]
+        assert r.feature == f"u{loud[0]}-a{loud[1]}-i{loud[2]}-r{zlib.crc32(held):08x}"
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes, r.media_sha256) == (len(data), len(padded), len(files[i]), hashlib.sha256(files[i]).hexdigest())
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+def test_ids_of_words_match_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tokenizer, encoder = Tokenizer.from_file(path), packing.encoder(path)
+    assert isinstance(encoder, packing._Words) and isinstance(packing.encoder(tokenizer_path("byte_bpe_50k.json")), packing._Texts)
+    rng = random.Random(7)
+    letters = "abcdefghijkzàéßöñÿŸİıſKΣςабв中𝔸0129²½ⅧªºµÀÖ'’.,!#$%&*-_<>|@\x01\x00\x1c\x1f\x7f\x85\xa0\xaḏ̀​　﻿ \t\n\r\x0b\x0c"
+    words = ["don't", "it's", "we'll", "I'M", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "''re", "a'd", "HELLO", "H̱", "naïve", "x" * 60]
+    texts = ["".join(rng.choice(words) if rng.random() < 0.15 else rng.choice(letters) if rng.random() < 0.6 else rng.choice("etaoinshr ") for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.texts(texts) == want and [encoder.texts([t])[0] for t in texts[:300]] == want[:300] and encoder.texts([]) == []
+
+
+def test_other_tokenizers_take_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["Zebra,  zebra.\n\nZEBRA", "", None, " a  b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in packing.tokenize(docs, path, keep_ids=True).collect()}
+    assert got == {i: [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
+def test_no_setting_of_the_session_changes(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "unset")
+    docs = spark.createDataFrame([(i, "a b c") for i in range(5)], "doc_id long, text string")
+    packing.pack_documents(docs, tokenizer_path()).count()
+    media.describe(media.store_pcm(docs)).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "unset") == before
