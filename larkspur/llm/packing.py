@@ -214,6 +214,8 @@ class _Words:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         rows = pa.array(texts, pa.large_string())
         # Fewer spellings where that cannot change what the normaliser and the search for special tokens see.
         data, ends = _buffers(rows)
