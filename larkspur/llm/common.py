@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -39,18 +43,56 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path for one written table in the shared folder."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark).rstrip('/')}/larkspur-{app}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/larkspur-{app}/{tag}-{uuid.uuid4().hex[:12]}"
+    for made in _SCRATCH[-1:]:
+        made.append(path)
+    return path
+
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes what is :func:`stored` within, once it is over and what was made of it is written.
+
+    Paths taken off the list stay.  Within one process and thread only.
+    """
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the actions within; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, tag: str, codec: str = "zstd", rows: int = 1000) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     This cuts lineage: a lost executor costs a reread, not a recomputation,
-    and later plans see one fixed version of every row.
+    and later plans see one fixed version of every row.  Python stages of its
+    plan get batches of ``rows`` rows, since with Spark's own bound of 64 MB a
+    batch is held several times over on its way.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +115,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1000, siz
 
     Spark bounds a batch at 64 MB whatever its rows; a worker that holds several
     arrays for each word wants less.  A row is never cut, so one that is longer
-    is a part of its own.  No setting of the session is touched.
+    is a part of its own.
     """
     for batch in batches:
         n = batch.num_rows

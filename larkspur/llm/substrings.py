@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", doc_id
 
     Kept words are joined by one space.  Null and empty texts have no words;
     repeated rows are documents of their own, later ones copies; other columns
-    of ``docs`` are left behind whatever their names.
+    of ``docs`` are left behind whatever their names.  The result is written.
     """
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts
 
@@ -284,4 +284,5 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", doc_id
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    return repeated_windows(docs, length, text, doc_id).select("doc_id", "text", "copy", "single", "known").mapInArrow(cut, schema)
+    marked = repeated_windows(docs, length, text, doc_id).select("doc_id", "text", "copy", "single", "known")
+    return stored(marked.mapInArrow(cut, schema), "without-repeats")
