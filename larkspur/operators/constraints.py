@@ -6,8 +6,10 @@ record are also available for documents, batch by batch.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +24,14 @@ _KINDS = {
     "boolean": lambda v: isinstance(v, bool),
     "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
     "null": lambda v: v is None,
-    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "number": lambda v: isinstance(v, (int, float, Decimal)) and not isinstance(v, bool),
     "object": lambda v: isinstance(v, dict),
     "string": lambda v: isinstance(v, str),
 }
 
 
 def _same(a: Any, b: Any) -> bool:
+    a, b = (float(x) if isinstance(x, Decimal) else x for x in (a, b))
     return type(a) is type(b) and a == b
 
 
@@ -111,6 +114,16 @@ def taken_keys(batch: DataFrame, old: DataFrame, key: Column) -> DataFrame:
     return mine.join(theirs, "key", "left").select("key", (F.col("mine") + F.coalesce("theirs", F.lit(0))).alias("n")).where("n > 1")
 
 
+def document_errors(rows: DataFrame, schema: dict, relationships: dict[str, dict] | None = None, doc: str = "doc") -> DataFrame:
+    """``rows`` (documents) that break the schema or a declared reference, with ``error``."""
+
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else schema_error(V.loads(t), schema) or reference_error(V.loads(t), relationships or {}))
+
+    return rows.withColumn("error", first(V.text(F.col(doc)))).where("error IS NOT NULL")
+
+
 def unique_violations(rows: DataFrame, field: str, key: str = "_id") -> DataFrame:
     """(key, field): rows of a typed collection whose value another row has too."""
     again = duplicate_keys(rows, F.col(field)).select(F.col("key").alias("_dup"))

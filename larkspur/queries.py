@@ -6,17 +6,18 @@ Every query goes through the engine's own operators; results are flat columns.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur import stored_queries
 from larkspur.functions import pointers as P
 from larkspur.operators import constraints, delete, measure, read, relate, write
 from larkspur.plans.filters import Filter
+from larkspur.plans.options import Options
 from larkspur.plans.predicates import Compiler, where
-from larkspur.session import Engine, local_engine
+from larkspur.session import Engine
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id"}
 TABLES = (*KEYS, "lineitem")
@@ -136,17 +137,21 @@ def sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.read(q, order_by="o_totalprice", order_direction="desc", limit=20).select("o_orderkey", "o_totalprice")
 
 
-@query("sort_nulls_last", "SELECT c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS b FROM customer) ORDER BY b DESC NULLS LAST, CAST(c_custkey AS VARCHAR) DESC LIMIT 1100")
+@query("sort_nulls_last", "SELECT c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS b FROM customer) ORDER BY b DESC NULLS LAST, CAST(c_custkey AS VARCHAR) DESC LIMIT 60 OFFSET (SELECT count(*) - 30 FROM customer WHERE c_custkey % 3 <> 0)")
 def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows around the place where, at any size, values end and missing ones begin."""
     rows = load(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS b"))
-    return Engine(spark).attach("customer", rows, "c_custkey").read("customer", order_by="b", order_direction="desc", limit=1100).select("c_custkey")
+    e = Engine(spark).attach("customer", rows, "c_custkey")
+    values = rows.where("b IS NOT NULL").count()
+    return e.read("customer", order_by="b", order_direction="desc", offset=values - 30, limit=60).select("c_custkey")
 
 
-@query("sort_document_kinds", "SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0 ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 5")
+@query("sort_document_kinds", "SELECT c_custkey FROM customer ORDER BY c_custkey % 4 <> 0, CAST(c_custkey AS VARCHAR) LIMIT 40 OFFSET (SELECT count(*) - 20 FROM customer WHERE c_custkey % 4 = 0)")
 def sort_document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of the first value that can be ordered decides; the rest comes last."""
+    """The kind of the first value that can be ordered decides; the rest comes last: the rows around that place."""
     docs = _kinds(spark, sf_dir).withColumn("_id", F.col("c_custkey").cast("string")).withColumn("_seq", F.col("c_custkey") % 4 * 1_000_000 + F.col("c_custkey"))
-    return read.ordered(docs, "v", None, "doc").limit(5).select("c_custkey")
+    first = docs.where("c_custkey % 4 = 0").count()
+    return read.modified(docs, Options.of(order_by="v", offset=first - 20, limit=40), "doc").select("c_custkey")
 
 
 @query("offset_limit", "SELECT p_partkey FROM part ORDER BY p_retailprice, CAST(p_partkey AS VARCHAR) LIMIT 10 OFFSET 15")
@@ -200,7 +205,7 @@ def count_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,)], "n long")
 
 
-@query("count_pointers", "SELECT CAST(2 AS BIGINT) AS n FROM region LIMIT 1")
+@query("count_pointers", "SELECT 2 * count(*) AS n FROM customer WHERE c_custkey IN (1, -5)")
 def count_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = engine(spark, sf_dir, "customer").count(["@customer:1", "@customer:1", "@customer:-5"])
     return spark.createDataFrame([(n,)], "n long")
@@ -397,26 +402,28 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 @query("delete_cascade", f"SELECT 'nation' AS collection, count(*) AS n FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey NOT IN {_GONE} UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN {_GONE}")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A region's deletion goes on to its nations, their customers and their orders."""
+    """A region's deletion goes on to its nations, their customers and their orders, by delete rules."""
     tables = {n: load(spark, sf_dir, n) for n in ("nation", "customer", "orders")}
     links = (("region", "nation", "n_regionkey"), ("nation", "customer", "c_nationkey"), ("customer", "orders", "o_custkey"))
-    edges = None
-    for parent, child, field in links:
-        part = tables[child].select(P.pointer_to(parent, F.col(field).cast("string")).alias("parent"), P.pointer_to(child, F.col(KEYS[child]).cast("string")).alias("child"))
-        edges = part if edges is None else edges.unionByName(part)
-    doomed = delete.cascade_ids(spark.createDataFrame([("@region:1",)], "node string"), edges, _checkpointed)
+    rules = {delete.Rule("Cascade", parent, child, field): tables[child] for parent, child, field in links}
+
+    def edges(rule: delete.Rule) -> DataFrame:
+        key = F.col(KEYS[rule.child]).cast("string")
+        return rules[rule].select(F.lit(rule.parent).alias("parent_drawer"), F.col(rule.field).cast("string").alias("parent_id"), F.lit(rule.child).alias("child"), key.alias("child_id"))
+
+    doomed, _ = delete.closure(spark, spark.createDataFrame([("region", "1")], delete.NODE), list(rules), edges, _checkpointed)
     out = None
     for name, rows in tables.items():
-        left = rows.withColumn("node", P.pointer_to(name, F.col(KEYS[name]).cast("string"))).join(doomed, "node", "left_anti")
-        part = left.agg(F.lit(name).alias("collection"), F.count("*").alias("n"))
+        gone = doomed.where(F.col("drawer") == name).select(F.col("_id").alias("_gone"))
+        part = rows.join(gone, rows[KEYS[name]].cast("string") == F.col("_gone"), "left_anti").agg(F.lit(name).alias("collection"), F.count("*").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("delete_restrict", "SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 10) AS restricted FROM nation")
+@query("delete_restrict", "SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier) AS restricted FROM nation")
 def delete_restrict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which nations may not be deleted because one of the suppliers up to key 10 refers to them."""
-    return restricted_nations(load(spark, sf_dir, "nation"), where(load(spark, sf_dir, "supplier"), {"s_suppkey": {"$lte": 10}}))
+    """Which nations may not be deleted because a supplier refers to them."""
+    return restricted_nations(load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier"))
 
 
 def restricted_nations(nation: DataFrame, supplier: DataFrame) -> DataFrame:
@@ -483,8 +490,7 @@ def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("document_round_trip", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'AMERICAN' ELSE n_name END AS n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 3")
 def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents: bulk upserts, a query upsert, a delete, and a read with references resolved."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    e = Engine(spark, f"{shared}/larkspur-store-{uuid.uuid4().hex}") if shared else local_engine(spark)
+    e = stored_queries.new_engine(spark)
     e.create("tpch")
     e.create("tpch", "main")
     scope = e.scope("tpch/main")
@@ -497,3 +503,7 @@ def document_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope.delete(["nation", {"region": "@region:3"}])
     out = scope.read("nation")
     return out.select(*[F.variant_get("doc", f"$.{p}", t).alias(p.rpartition(".")[2]) for p, t in (("n_nationkey", "int"), ("n_name", "string"), ("region.r_name", "string"))])
+
+
+QUERIES.update(stored_queries.QUERIES)
+ORACLES.update(stored_queries.ORACLES)

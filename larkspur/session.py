@@ -25,7 +25,7 @@ from larkspur.operators import constraints, delete, read, relate, write
 from larkspur.plans.filters import Filter, Selection
 from larkspur.plans.options import Options
 from larkspur.plans.predicates import where
-from larkspur.sources.store import Store, new_meta
+from larkspur.sources.store import Store, new_entry, new_meta
 
 KINDS = ("index", "key", "constraint", "trigger", "relationship", "cascade-delete", "timestamp")
 
@@ -380,14 +380,14 @@ class Scope:
     def _commit(self, staged: DataFrame, keep: Callable) -> None:
         """Check the batch against every collection it touches, then publish all of it at once.
 
-        Each collection is written once; what was written for a refused batch
-        is never named by a manifest.
+        Of each collection only the batch's records are written, once all are
+        checked.
         """
         m, drawers = self._state()
         names = sorted(r[0] for r in staged.select("drawer").distinct().collect())  # collections, not rows
-        written = {}
+        written: dict[str, tuple[dict, DataFrame]] = {}
         for name in names:
-            entry = drawers.get(name) or {"path": None, "meta": new_meta()}
+            entry = drawers.get(name) or new_entry()
             meta = entry["meta"]
             old = self.store.read(entry)
             batch = write.last_of_each(staged.where(F.col("drawer") == name), "_id", "pos").select("_id", "pos", "doc")
@@ -396,13 +396,13 @@ class Scope:
             batch = keep(batch)
             self._check_records(batch, meta, name)
             self._check_unique(batch, old, meta, name)
-            base = old.agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0] + 1
-            kept = old.select("_id", F.col("_seq").alias("_kept"))
-            new = batch.join(kept, "_id", "left").select("_id", F.coalesce("_kept", F.col("pos") + base).alias("_seq"), "doc")
-            written[name] = self.store.write(m, write.replaced(old, new))
-        for name, path in written.items():
-            entry = drawers.setdefault(name, {"path": None, "meta": new_meta()})
-            entry["path"] = path
+            # Only the batch's ids are looked up among all.
+            kept = old.select("_id", F.col("_seq").alias("_kept")).join(batch.select("_id"), "_id", "left_semi")
+            place = F.coalesce("_kept", F.col("pos") + self.store.next_place(entry)).alias("_seq")
+            written[name] = entry, batch.join(kept, "_id", "left").select("_id", place, "doc")
+        for name, (entry, rows) in written.items():
+            self.store.change(m, entry, rows)
+            drawers[name] = entry
             self._note_aliases(staged, name, entry["meta"])
             for parent in list(drawers.values()):
                 for rule in parent["meta"]["relationships"].values():
@@ -442,17 +442,9 @@ class Scope:
         if not schema and not rules:
             return
 
-        @F.pandas_udf("string")
-        def error(texts: pd.Series) -> pd.Series:
-            def first(text: str) -> str | None:
-                record = json.loads(text)
-                return constraints.schema_error(record, schema) or constraints.reference_error(record, rules)
-
-            return texts.map(first)
-
-        bad = batch.select("_id", error(V.text(F.col("doc"))).alias("e")).where("e IS NOT NULL").orderBy("_id").limit(1).collect()
+        bad = constraints.document_errors(batch, schema, rules).orderBy("_id").limit(1).collect()
         if bad:
-            raise ConstraintViolation(f"@{name}:{bad[0]._id}: {bad[0].e}")
+            raise ConstraintViolation(f"@{name}:{bad[0]._id}: {bad[0].error}")
 
     def _check_unique(self, batch: DataFrame, old: DataFrame, meta: dict, name: str) -> None:
         one_to_one = [f for f, r in meta["relationships"].items() if r.get("type") == "1:1"]
@@ -502,13 +494,11 @@ class Scope:
         doomed, emptied = keep(doomed), keep(emptied)
         touched = {r[0] for r in doomed.select("drawer").distinct().collect()} | {r[0] for r in emptied.select("drawer").distinct().collect()}
         for name in sorted(touched & drawers.keys()):
-            rows = write.without_keys(self.store.read(drawers[name]), doomed.where(F.col("drawer") == name))
             marks = emptied.where(F.col("drawer") == name).groupBy(F.col("_id").alias("_row"))
             marks = marks.agg(F.to_json(F.collect_list(F.struct("field", "parent"))).alias("_marks"))
-            met = rows.join(marks, rows["_id"] == marks["_row"], "left")
-            plain = met.where("_marks IS NULL").select("_id", "_seq", "doc")
-            cut = read.edit_documents(met.where("_marks IS NOT NULL"), "doc", _emptied, "_marks").select("_id", "_seq", "doc")
-            drawers[name]["path"] = self.store.write(m, plain.unionByName(cut))
+            rows = self.store.read(drawers[name])
+            cut = read.edit_documents(rows.join(marks, rows["_id"] == marks["_row"]), "doc", _emptied, "_marks").select("_id", "_seq", "doc")
+            self.store.change(m, drawers[name], cut, doomed.where(F.col("drawer") == name).select("_id"))
         self.store.commit(m)
         return addressed
 
@@ -581,7 +571,7 @@ class Scope:
     def set_schema(self, drawer: str, schema: dict) -> None:
         """Records written from now on must fit ``schema``."""
         m, drawers = self._state()
-        drawers.setdefault(self._name(drawer), {"path": None, "meta": new_meta()})["meta"]["schema"] = schema
+        drawers.setdefault(self._name(drawer), new_entry())["meta"]["schema"] = schema
         self.store.commit(m)
 
     def inspect(self, drawer: str) -> dict:
@@ -589,7 +579,7 @@ class Scope:
         entry = drawers.get(self._name(drawer))
         if entry is None:
             raise NotFound(f"no collection {drawer}")
-        size, files = self.store.files.size(f"{self.store.root}/{entry['path']}") if entry["path"] else (0, 0)
+        size, files = self.store.size(entry)
         return {"drawer": self._name(drawer), "record_count": self.store.read(entry).count(), "bytes": size, "files": files, "fragmentation": None, "meta": entry["meta"]}
 
     def compact(self, drawer: str | None = None) -> dict:
@@ -601,7 +591,7 @@ class Scope:
                 raise NotFound(f"no collection {name}")
             if drawers[name]["path"]:
                 rows = self.store.read(drawers[name]).withColumn("_id", P.without_legacy_prefix(F.col("_id")))
-                drawers[name]["path"] = self.store.write(m, _migrated(rows))
+                drawers[name].update(path=self.store.write(m, _migrated(rows)), changes=[])
         self.store.commit(m)
         self.store.collect_garbage()
         return {"bytes_before": before, "bytes_after": self.store.files.size(f"{self.store.root}/data")[0]}
@@ -644,4 +634,6 @@ def _emptied(doc: dict, marks: str) -> dict:
 
 def local_engine(spark: SparkSession) -> Engine:
     """An engine in a temporary folder, for trying things out in one process."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise InvalidInput("a store on a cluster needs a folder that all executors share")
     return Engine(spark, tempfile.mkdtemp(prefix="larkspur-store-"))

@@ -1,8 +1,11 @@
 """Collections as immutable Parquet snapshots under one numbered manifest.
 
-A commit writes new snapshots for every collection it touches and then one new
-manifest file; whoever opens the store sees either all of it or nothing.  Two
-writers from the same manifest can't both commit.
+A collection is a base snapshot and the changes since, oldest first; reading
+merges them.  A commit writes what it changes of every collection and then one
+new manifest file; whoever opens the store sees either all of it or nothing.
+Two writers from the same manifest can't both commit.  Changes are merged with
+one another when they are many, and with the base only when they have a share
+of its size, so a commit costs in proportion to what it changes.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ import copy
 import json
 import re
 import uuid
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.errors import ConstraintViolation, InvalidInput, NotFound
@@ -21,6 +25,8 @@ from larkspur.sources.files import Files
 
 ARCHIVE_FORMAT = "larkspur-archive-v1"
 SCHEMA = "_id string, _seq long, doc variant"
+#: A changed or, with ``_gone``, a deleted record.
+CHANGES = f"{SCHEMA}, _gone boolean"
 RIGHTS = "ruid"
 
 
@@ -44,9 +50,23 @@ def new_meta() -> dict[str, Any]:
     return {"schema": {}, "unique": [], "relationships": {}, "aliases": {}, "delete_rules": {}, "hidden": [], "timestamps": False, "extensions": {}}
 
 
+def new_entry() -> dict[str, Any]:
+    return {"path": None, "changes": [], "next": 0, "meta": new_meta()}
+
+
+def paths_of(entry: dict | None) -> list[str]:
+    """The folders of a collection: its base and its changes."""
+    return [p for p in ((entry or {}).get("path"), *((entry or {}).get("changes") or [])) if p]
+
+
 class Store:
     """One root folder with its manifests, snapshots and registries."""
 
+    #: So many sets of changes are read one by one; more are merged.
+    most_changes = 8
+    #: Changes above this share of the base are merged with it.
+    share = 0.25
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -83,7 +103,7 @@ class Store:
             if drawer is None:
                 schemas.setdefault(schema, {})
             else:
-                self._drawers(m, database, schema).setdefault(check_token(drawer, "drawer"), {"path": None, "meta": new_meta()})
+                self._drawers(m, database, schema).setdefault(check_token(drawer, "drawer"), new_entry())
         self.commit(m)
         return {"ok": True, "action": "create", "path": "/".join(p for p in (database, schema, drawer) if p)}
 
@@ -109,6 +129,15 @@ class Store:
             raise NotFound(f"no schema {database}/{schema}")
         return schemas[schema]
 
+    def clone(self, database: str, to: str) -> dict:
+        """A new database with the collections of another as they are now; snapshots are shared, no data is copied."""
+        m = self.manifest()
+        if to in m["databases"]:
+            raise InvalidInput(f"database {to} is there already")
+        m["databases"][check_database(to)] = copy.deepcopy(self._schemas(m, database))
+        self.commit(m)
+        return {"ok": True, "action": "clone", "path": to}
+
     def create_tenant(self, tenant: str, location: str) -> dict:
         """Route a tenant to the databases below a location."""
         m = self.manifest()
@@ -128,10 +157,61 @@ class Store:
     # Snapshots
 
     def read(self, entry: dict | None) -> DataFrame:
-        """A collection's rows: (_id, _seq, doc)."""
+        """A collection's rows: (_id, _seq, doc), the latest of each."""
         if not entry or not entry["path"]:
             return self.spark.createDataFrame([], "_id string, _seq long, d string").select("_id", "_seq", F.parse_json("d").alias("doc"))
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{entry['path']}")
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{entry['path']}")
+        if not entry.get("changes"):
+            return rows
+        last = self._latest(entry["changes"])
+        return rows.join(last.select("_id"), "_id", "left_anti").unionByName(last.where("NOT _gone").select("_id", "_seq", "doc"))
+
+    def _latest(self, changes: list[str]) -> DataFrame:
+        """The last of each record's changes, which are given oldest first."""
+        each = [self.spark.read.schema(CHANGES).parquet(f"{self.root}/{p}") for p in changes]
+        if len(each) == 1:
+            return each[0]
+        rows = reduce(DataFrame.unionByName, [r.withColumn("_at", F.lit(i)) for i, r in enumerate(each)])
+        last = Window.partitionBy("_id").orderBy(F.col("_at").desc())
+        return rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "_at")
+
+    def change(self, manifest: dict, entry: dict, changed: DataFrame, gone: DataFrame | None = None) -> None:
+        """Put records (_id, _seq, doc) in place of those with their ids, and drop those of ``gone`` (_id)."""
+        if not entry["path"]:
+            path = entry["path"] = self.write(manifest, changed)
+        else:
+            rows = changed.select("_id", "_seq", "doc", F.lit(False).alias("_gone"))
+            if gone is not None:
+                none = F.parse_json(F.lit("null"))
+                rows = rows.unionByName(gone.select("_id", F.lit(None).cast("long").alias("_seq"), none.alias("doc"), F.lit(True).alias("_gone")))
+            path = self.new_path(manifest)
+            rows.write.parquet(f"{self.root}/{path}")
+        highest = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{path}").agg(F.max("_seq")).first()[0]
+        entry["next"] = max(self.next_place(entry), 0 if highest is None else highest + 1)
+        if path == entry["path"]:
+            return
+        changes = [*(entry.get("changes") or []), path]
+        if sum(self.files.size(f"{self.root}/{p}")[0] for p in changes) > self.share * self.files.size(f"{self.root}/{entry['path']}")[0]:
+            merged = self.read({**entry, "changes": changes})
+            entry["path"], entry["changes"] = self.write(manifest, merged), []
+        elif len(changes) > self.most_changes:
+            path = self.new_path(manifest)
+            self._latest(changes).write.parquet(f"{self.root}/{path}")
+            entry["changes"] = [path]
+        else:
+            entry["changes"] = changes
+
+    def next_place(self, entry: dict) -> int:
+        """A ``_seq`` that no record has yet, nor any after it."""
+        if "next" in entry:
+            return entry["next"]
+        highest = self.read(entry).agg(F.max("_seq")).first()[0]
+        return 0 if highest is None else highest + 1
+
+    def size(self, entry: dict) -> tuple[int, int]:
+        """(bytes, files) of a collection."""
+        sizes = [self.files.size(f"{self.root}/{p}") for p in paths_of(entry)]
+        return sum(s[0] for s in sizes), sum(s[1] for s in sizes)
 
     @staticmethod
     def new_path(manifest: dict) -> str:
@@ -151,7 +231,7 @@ class Store:
         Whoever wrote from an older one can't.
         """
         m = self.manifest()
-        named = {e["path"] for schemas in m["databases"].values() for drawers in schemas.values() for e in drawers.values()}
+        named = {p for schemas in m["databases"].values() for drawers in schemas.values() for e in drawers.values() for p in paths_of(e)}
         gone = []
         for name in self.files.names(f"{self.root}/data"):
             made = re.match(r"(\d{10})-", name)
@@ -168,7 +248,7 @@ class Store:
         for db, schemas in self.manifest()["databases"].items():
             for schema, drawers in schemas.items():
                 for drawer, entry in drawers.items():
-                    size, files = self.files.size(f"{self.root}/{entry['path']}") if entry["path"] else (0, 0)
+                    size, files = self.size(entry)
                     n = self.read(entry).count() if entry["path"] else 0
                     rows.append((db, schema, drawer, n, size, files))
         return self.spark.createDataFrame(rows, "database string, schema string, drawer string, record_count long, bytes long, files long")
@@ -207,8 +287,8 @@ class Store:
         scope = "drawer" if drawer else "schema" if schema else "database"
         for x in chosen.values():
             for e in x.values():
-                if e["path"]:
-                    self.files.copy(f"{self.root}/{e['path']}", f"{destination}/{e['path']}")
+                for path in paths_of(e):
+                    self.files.copy(f"{self.root}/{path}", f"{destination}/{path}")
         body = {"format": ARCHIVE_FORMAT, "scope": scope, "database": database, "schemas": chosen}
         if not self.files.write(f"{destination}/archive.json", json.dumps(body)):
             raise InvalidInput(f"{destination} holds an archive already")
@@ -231,10 +311,10 @@ class Store:
             if body["scope"] == "schema":
                 target.clear()
             for drawer, entry in drawers.items():
-                path = entry["path"] and self.new_path(m)
-                if path:
-                    self.files.copy(f"{source}/{entry['path']}", f"{self.root}/{path}")
-                target[drawer] = {"path": path, "meta": entry["meta"]}
+                at = {path: self.new_path(m) for path in paths_of(entry)}
+                for path, to in at.items():
+                    self.files.copy(f"{source}/{path}", f"{self.root}/{to}")
+                target[drawer] = {**entry, "path": at.get(entry["path"]), "changes": [at[p] for p in entry.get("changes") or []]}
         self.commit(m)
         size, files = self.files.size(source)
         return {"scope": body["scope"], "file_count": files, "byte_count": size}

@@ -310,3 +310,51 @@ def test_key_lookups_reach_the_scan(spark, tmp_path):
         assert [r.c_custkey for r in df.collect()] == [7]
     assert e.count(["@customer:7", "@customer:07", "@customer:7", "@customer:x"]) == 2
     assert e.count([Filter.drawer("customer"), Filter.query({"_id": {"$in": ["1", "2", "-0"]}})]) == 2 and e.count([Filter.drawer("customer"), Filter.query({"_id": "07"})]) == 0
+
+
+@pytest.mark.parametrize("share,most", [(1e9, 2), (1e9, 50), (0.0, 8)])
+def test_changes_are_merged_on_read(scope, monkeypatch, share, most):
+    """Commits that write only what they change give what rewriting everything gives."""
+    import random
+
+    monkeypatch.setattr(scope.store, "share", share)
+    monkeypatch.setattr(scope.store, "most_changes", most)
+    rng = random.Random(most)
+    held = {str(i): {"_id": str(i), "v": i} for i in range(12)}
+    scope.upsert(list(held.values()), "d")
+    order = list(held)
+    for step in range(7):
+        keys = rng.sample([str(i) for i in range(16)], 3)
+        if step % 3 == 2:
+            scope.delete([f"@d:{k}" for k in keys])
+            order = [k for k in order if k not in keys]
+            held = {k: v for k, v in held.items() if k not in keys}
+        else:
+            new = [{"_id": k, "v": step * 100 + i} for i, k in enumerate(keys)]
+            scope.upsert(new, "d")
+            order += [k for k in keys if k not in held]
+            held |= {r["_id"]: r for r in new}
+    entry = scope._state()[1]["d"]
+    assert len(entry["changes"]) == 0 if share == 0 else 0 < len(entry["changes"]) <= most
+    assert by_id(scope, "d") == held and scope.count("d") == len(held)
+    assert [r._id for r in scope.documents("d").orderBy("_seq").collect()] == order
+    before = scope.documents("d").select("_id", "_seq").collect()
+    scope.store.collect_garbage()
+    scope.compact("d")
+    assert sorted(map(tuple, before)) == sorted(map(tuple, scope.documents("d").select("_id", "_seq").collect())) and not scope._state()[1]["d"]["changes"]
+
+
+def test_archives_take_changes_along(scope, tmp_path, monkeypatch):
+    monkeypatch.setattr(scope.store, "share", 1e9)
+    scope.upsert([{"_id": "1", "v": 1}, {"_id": "2", "v": 1}], "d")
+    scope.upsert({"_id": "1", "v": 2}, "d")
+    scope.engine.backup(str(tmp_path / "b"), "lib")
+    scope.store.clone("lib", "twin")
+    scope.delete("@d:1")
+    other = Engine(scope.spark, str(tmp_path / "other"))
+    other.restore(str(tmp_path / "b"))
+    for s in (other.scope("lib/main"), scope.engine.scope("twin/main")):
+        assert by_id(s, "d") == {"1": {"_id": "1", "v": 2}, "2": {"_id": "2", "v": 1}}
+        s.upsert({"_id": "1", "v": 3}, "d")
+        assert by_id(s, "d")["1"]["v"] == 3
+    assert by_id(scope, "d").keys() == {"2"}
