@@ -89,12 +89,23 @@ def _typed(rows: DataFrame, embedding: str) -> Column:
     return F.transform(F.col(embedding).cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
 
 
-def distinct_vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(rep, n, embedding): usable vectors, equal ones as one named by their smallest id."""
+def digested_vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, embedding, digest) of every row; those that can't link have no digest and no embedding.
+
+    The digest is SHA-256 of the components' texts, which tell all floats apart,
+    and stands for the vector wherever rows are grouped or joined.
+    """
     usable = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     some = F.exists(embedding, lambda x: x != 0)
-    good = rows.where(usable & some).select(F.col(vec_id).cast("long").alias("vec_id"), _typed(rows, embedding).alias("embedding"))
-    return good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(usable & some, _typed(rows, embedding)).alias("embedding"))
+    text = F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",")
+    return own.withColumn("digest", F.unhex(F.sha2(text, 256)))
+
+
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    """(digest, rep, n, embedding): usable vectors, equal ones as one named by their smallest id."""
+    good = vectors.where("digest IS NOT NULL").groupBy("digest")
+    return good.agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
 
 
 def _dealt(vectors: DataFrame, ship: bool) -> DataFrame:
@@ -103,7 +114,7 @@ def _dealt(vectors: DataFrame, ship: bool) -> DataFrame:
     single = dict(vectors.dtypes)["embedding"] == "array<float>"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             every = batch.column(2).to_pylist()
             ids, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for size in sorted({len(v) for v in every}):
@@ -123,6 +134,12 @@ def _dealt(vectors: DataFrame, ship: bool) -> DataFrame:
     return spread.mapInArrow(deal, "t int, cell long, role int" + ", id long, n long, own binary, vector binary" * ship)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     raw = raw / np.abs(raw).max(axis=1, keepdims=True)
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
@@ -204,7 +221,7 @@ def _compare(blocks: DataFrame, least: float, kept: str) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-        for batch in batches:
+        for batch in parts(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:5] != key:
                     if len(rows) > 1:
@@ -225,13 +242,12 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     Vectors that are null, zero, or hold null or non-finite components, and
     those without an id, link with nothing and are their own component.  Equal
     vectors are compared once and count as often as they come; vectors of other
-    lengths never link.
+    lengths never link.  Other columns of ``rows`` are left behind whatever
+    their names.
     """
-    spark = rows.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 2000:
-        spark.conf.set(key, 2000)
-    distinct = stored(distinct_vectors(rows, vec_id, embedding), "distinct-vectors")
+    vectors = digested_vectors(rows, vec_id, embedding)
+    members = stored(vectors.select("vec_id", "digest"), "members")
+    distinct = stored(distinct_vectors(vectors), "distinct-vectors")
     kept = "<f4" if dict(distinct.dtypes)["embedding"] == "array<float>" else "<f8"
     found = stored(_compare(_blocks(distinct), least, kept), "links")
     pairs = found.where("y >= 0").distinct()
@@ -240,11 +256,10 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     components = connected_components(found.select("a", "b"))
     known = distinct.join(counts, distinct["rep"] == counts["a"], "left").join(components, distinct["rep"] == components["node"], "left")
     known = known.select(
-        F.col("embedding").alias("_embedding"),
+        F.col("digest").alias("_digest"),
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("_links"),
         F.coalesce("component", "rep").alias("_component"),
     )
-    own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), _typed(rows, embedding).alias("_own"))
-    out = own.join(known, (F.col("_own") == F.col("_embedding")) & F.col("vec_id").isNotNull(), "left")
+    out = members.join(known, (F.col("digest") == F.col("_digest")) & F.col("vec_id").isNotNull(), "left")
     out = out.select("vec_id", F.coalesce("_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("_component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
