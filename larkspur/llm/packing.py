@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored
 
-#: Ranks within a length that share a lookup of their slots.
+#: Ranks within a length that share a lookup of their slots, and ranges of them that one task lists.
 BLOCK = 64
+SPAN = BLOCK << 14
+#: Pieces of one length that one task orders, about.
+ORDERED = 1_000_000
 _ENCODERS: dict = {}
 #: Words that the tokenizer encoded whose ids a Python worker remembers (about 100 MB).
 REMEMBERED = 500_000
@@ -381,18 +384,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, salts: int | None = None) -> D
     """``pieces`` (written, with ``length``) with ``sequence_id`` and ``offset``.
 
     Ranks within a length come from counts per (length, salt): a hot length,
-    such as full pieces, is spread over ``salts`` partitions instead of being
-    ordered by one task.  Ties are ordered by (doc_id, row, piece).
+    such as full pieces, is spread over ``salts`` groups, as many as keep one to
+    about ``ORDERED`` pieces, instead of being ordered by one task.  Ties are
+    ordered by (doc_id, row, piece).
     """
     spark = pieces.sparkSession
-    salts = salts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = salts or max(64, -(-pieces.count() // ORDERED))
     pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(salts)))
     counts = stored(pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "pack-counts")
     # At most `capacity` rows, whatever the corpus.
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    # At most capacity x salts rows, so the join below may well broadcast them (13 MB at 2,048 x 64).
+    # At most capacity x salts rows; the join below may broadcast them while they are few (13 MB at 2,048 x 64).
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "row", "piece")
     ranked = pieces.withColumn("_own", F.row_number().over(own) - 1).join(counts, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_own") + F.col("_before"))
@@ -400,8 +404,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, salts: int | None = None) -> D
     names = ["length", "_from", "_many", "_first", "_offset"]
     planned = spark.createDataFrame(pa.table(dict(zip(names, columns.T, strict=True))))
     # A piece finds its range by length and block of ranks; merged, since the plan grows until lengths are many.
-    blocks = F.sequence(F.expr(f"_from div {BLOCK}"), F.expr(f"(_from + _many - 1) div {BLOCK}"))
-    planned = planned.withColumn("_block", F.explode(blocks))
+    # Long ranges are dealt out by spans first, so that no task lists the blocks of all.
+    planned = planned.withColumn("_span", F.explode(F.expr(f"sequence(_from div {SPAN}, (_from + _many - 1) div {SPAN})"))).repartition("length", "_span")
+    first, last = f"greatest(_from, _span * {SPAN}) div {BLOCK}", f"least(_from + _many - 1, (_span + 1) * {SPAN} - 1) div {BLOCK}"
+    planned = planned.withColumn("_block", F.explode(F.expr(f"sequence({first}, {last})"))).drop("_span")
     found = ranked.withColumn("_block", F.expr(f"_rank div {BLOCK}")).join(planned.hint("merge"), ["length", "_block"])
     found = found.where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_many")))
     return found.select(
@@ -412,5 +418,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, salts: int | None = None) -> D
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, **columns) -> DataFrame:
-    """Pieces of ``docs`` with their places; ids are encoded once and digested."""
-    return pack(stored(tokenize(docs, tokenizer_path, capacity, **columns), "pieces"), capacity)
+    """Pieces of ``docs`` with their places; ids are encoded once and digested.
+
+    Nulls, empty texts, repeated rows and other columns as for :func:`tokenize`.
+    """
+    return pack(stored(tokenize(docs, tokenizer_path, capacity, **columns), "pieces", rows=4000), capacity)
