@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import lines, mixing, packing, simhash, toxicity
-from larkspur.llm.common import set_aside, stored, table
+from larkspur.llm.common import delete, scratch, set_aside, stored, table
 from larkspur.llm.queries import tokenizer_path
 
 
@@ -63,8 +63,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each result written and reread.
+
+    What a stage wrote on its way goes once its result is there, and a stage's
+    result once the next one's is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            result = made.pop()
+        if before:
+            delete(spark, before)
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
