@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.config import Config
 from larkspur.errors import ConstraintViolation, InvalidInput, NotFound
 from larkspur.functions import pointers as P
 from larkspur.functions import variants as V
@@ -39,11 +40,12 @@ class Upserted:
 
 
 class Engine:
-    """Entry point: ``Engine(spark)`` for typed reads, ``Engine(spark, root)`` to store documents."""
+    """Entry point: ``Engine(spark)`` for typed reads, ``Engine(spark, root)`` to store documents, with settings as in ``Config``."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
-        self.store = Store(spark, root) if root else None
+    def __init__(self, spark: SparkSession, root: str | None = None, config: Any = None):
+        self.spark, self.config = spark, Config.of(config)
+        root = root or self.config.root
+        self.store = Store(spark, root, self.config) if root else None
         self._typed: dict[str, tuple[DataFrame, dict]] = {}
         self._keys: dict[str, str] = {}
 
@@ -110,8 +112,17 @@ class Engine:
     def drop(self, database: str, schema: str | None = None, drawer: str | None = None) -> dict:
         return self.store.drop(database, schema, drawer)
 
-    def status(self) -> dict:
-        return self.store.status()
+    def status(self, what: str | None = None, *at: str) -> Any:
+        """All of it, or one part; ``attached`` counts the typed collections held by this engine."""
+        if what == "attached":
+            return len(self._typed)
+        return self.store.status() if what is None else self.store.show(what, *at)
+
+    def compact(self, path: str) -> dict:
+        """Compact all collections of ``database[/schema[/collection]]``."""
+        database, _, _ = self.store.locate(path)
+        done = [self.scope(f"{database}/{s}").compact(d) for s, d, _ in self.store.entries(path)]
+        return {"collections": len(done), "bytes_before": sum(d["bytes_before"] for d in done[:1]), "bytes_after": sum(d["bytes_after"] for d in done[-1:])}
 
     def structure(self, database: str | None = None, schema: str | None = None) -> DataFrame:
         return self.store.structure(database, schema)

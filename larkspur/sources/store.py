@@ -20,6 +20,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.config import Config
 from larkspur.errors import ConstraintViolation, InvalidInput, NotFound
 from larkspur.sources.files import Files
 
@@ -62,13 +63,10 @@ def paths_of(entry: dict | None) -> list[str]:
 class Store:
     """One root folder with its manifests, snapshots and registries."""
 
-    #: So many sets of changes are read one by one; more are merged.
-    most_changes = 8
-    #: Changes above this share of the base are merged with it.
-    share = 0.25
-
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+        config = config or Config()
+        self.most_changes, self.share, self.log = config.most_changes, config.merge_share, config.logging.logger()
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         # Inferred shredding would store 3 beside 5.5 as a decimal and lose that it was whole.
         spark.conf.set("spark.sql.variant.inferShreddingSchema", "false")
@@ -86,7 +84,9 @@ class Store:
         out = copy.deepcopy(manifest)
         out["version"] += 1
         if not self.files.write(f"{self.root}/_manifest/{out['version']:010d}.json", json.dumps(out)):
+            self.log.warning("commit lost", extra={"fields": {"version": out["version"]}})
             raise ConstraintViolation("another commit came first; read again and retry")
+        self.log.info("commit", extra={"fields": {"version": out["version"]}})
         return out
 
     # Catalog
@@ -274,7 +274,68 @@ class Store:
         }
 
     def breakdown(self) -> dict[str, int]:
-        return {kind: self.files.size(f"{self.root}/{folder}")[0] for kind, folder in (("data", "data"), ("manifest", "_manifest"))}
+        """Bytes by kind: collections, catalog, work in progress, and whatever else lies in the root."""
+        sizes = {kind: self.files.size(f"{self.root}/{folder}")[0] for kind, folder in (("data", "data"), ("manifest", "_manifest"), ("work", "_work"))}
+        return sizes | {"other": self.files.size(self.root)[0] - sum(sizes.values())}
+
+    def locate(self, path: str) -> tuple[str, str | None, str | None]:
+        """(database, schema, collection) of ``database[/schema[/collection]]``; databases may have several segments."""
+        m, parts = self.manifest(), path.strip("/").split("/")
+        for n in range(len(parts), 0, -1):
+            database, rest = "/".join(parts[:n]), parts[n:]
+            if database in m["databases"] and len(rest) <= 2:
+                return database, *(rest + [None, None])[:2]
+        raise NotFound(f"no database in {path}")
+
+    def entries(self, path: str) -> list[tuple[str, str, dict]]:
+        """(schema, collection, entry) of all that lies below a path."""
+        database, schema, drawer = self.locate(path)
+        found = [(s, d, e) for s, x in self._schemas(self.manifest(), database).items() for d, e in x.items() if schema in (None, s) and drawer in (None, d)]
+        if schema is not None:
+            x = self._drawers(self.manifest(), database, schema)
+            if drawer is not None and drawer not in x:
+                raise NotFound(f"no collection {path}")
+        return found
+
+    def check_path(self, path: str) -> dict:
+        """What a path names, and the folders that hold it: whether each is there, its files and bytes."""
+        database, schema, drawer = self.locate(path)
+        rows = []
+        for s, d, entry in self.entries(path):
+            for at in paths_of(entry):
+                size, files = self.files.size(f"{self.root}/{at}")
+                rows.append({"collection": f"{database}/{s}/{d}", "folder": at, "exists": self.files.exists(f"{self.root}/{at}"), "files": files, "bytes": size})
+        return {"path": path.strip("/"), "kind": "drawer" if drawer else "schema" if schema else "database", "entries": rows}
+
+    def discover(self) -> DataFrame:
+        """(folder, collection, files, bytes) of every snapshot folder there is; no collection for what no manifest names."""
+        named = {p: f"{db}/{s}/{d}" for db, x in self.manifest()["databases"].items() for s, y in x.items() for d, e in y.items() for p in paths_of(e)}
+        rows = []
+        for name in self.files.names(f"{self.root}/data"):
+            size, files = self.files.size(f"{self.root}/data/{name}")
+            rows.append((f"data/{name}", named.get(f"data/{name}"), files, size))
+        return self.spark.createDataFrame(rows, "folder string, collection string, files long, bytes long")
+
+    def verify(self) -> dict:
+        """Whether manifests follow one another without a gap and the last one's folders are all there."""
+        versions = [int(n[:10]) for n in self.files.names(f"{self.root}/_manifest") if re.fullmatch(r"\d{10}\.json", n)]
+        lost = [p for db in self.manifest()["databases"].values() for x in db.values() for e in x.values() for p in paths_of(e) if not self.files.exists(f"{self.root}/{p}")]
+        return {"versions": len(versions), "gapless": versions == list(range(1, len(versions) + 1)), "lost": lost, "ok": versions == list(range(1, len(versions) + 1)) and not lost}
+
+    def show(self, what: str, *at: str) -> Any:
+        """One part of the status: tenants, databases, schemas, drawers, drawer_names, storage, log, or a path's check."""
+        m = self.manifest()
+        names = sorted(f"{d}/{s}/{c}" for d, x in m["databases"].items() for s, y in x.items() for c in y)
+        if what == "storage":
+            kinds = self.breakdown()
+            return {"bytes": sum(kinds.values()), **{f"{k}_bytes": v for k, v in kinds.items()}, "drawer_count": len(names), "drawers": names, "status": "ok" if names else "empty"}
+        forms = {
+            "tenants": lambda: sorted(m["tenants"]), "databases": lambda: sorted(m["databases"]), "schemas": lambda: sorted(self._schemas(m, *at)),
+            "drawers": lambda: sorted(self._drawers(m, *at)), "drawer_names": lambda: names, "log": self.verify, "path": lambda: self.check_path(*at),
+        }
+        if what not in forms:
+            raise InvalidInput(f"unknown status: {what}")
+        return forms[what]()
 
     # Archives
 

@@ -593,7 +593,7 @@ def altered_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, [*rows, ("refused", [refused(lambda b=b: scope.alter(*b)) for b in bad]), ("records", seen["record_count"])])
 
 
-@query("status_and_upkeep", cases_sql({"databases": "'[\"db\"]'", "bytes add up": "'true'", "kinds": "'[\"data\",\"manifest\"]'", "one snapshot": "1", "records": "(SELECT count(*) FROM supplier WHERE s_acctbal >= 0)", "files of one": "'true'"}))
+@query("status_and_upkeep", cases_sql({"databases": "'[\"db\"]'", "bytes add up": "'true'", "kinds": "'[\"data\",\"manifest\",\"other\",\"work\"]'", "one snapshot": "1", "records": "(SELECT count(*) FROM supplier WHERE s_acctbal >= 0)", "files of one": "'true'"}))
 def status_and_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, the breakdown of storage, and what compaction leaves."""
     e = new_engine(spark)
@@ -624,3 +624,36 @@ def users_and_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.revoke(user, "base:ru")
     rows += [("revoked", held()), ("dropped", [e.store.access("drop_user", {"user": user})["removed"] for _ in range(2)])]
     return cases(spark, [*rows, ("reads", e.scope("base/main").count("nation"))])
+
+
+@query("status_parts", cases_sql({"databases": "'[\"db\",\"db/in\"]'", "schemas": "'[\"x\",\"y\"]'", "drawers": "'[\"nation\"]'", "names": "'[\"db/in/x/nation\",\"db/x/nation\"]'", "storage": "'[2,\"ok\",true]'", "log": "'true'", "paths": "'[\"database\",\"schema\",\"drawer\"]'", "there": "'true'", "refused": "'[true,true]'", "attached": "1", "orphans": "0"}))
+def status_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status by part, the check of paths, and folders that no manifest names."""
+    e = new_engine(spark)
+    rows = load(spark, sf_dir, "nation")
+    for name, schema in (("db", "x"), ("db", "y"), ("db/in", "x")):
+        e.create(name)
+        e.create(name, schema)
+    for path in ("db/x", "db/in/x"):
+        e.scope(path).upsert_frame(as_documents(rows, F.col("n_nationkey"), n=F.col("n_name")), "nation")
+    storage, checks = e.status("storage"), [e.status("path", p) for p in ("db/in", "db/x", "db/in/x/nation")]
+    out = [("databases", e.status("databases")), ("schemas", e.status("schemas", "db")), ("drawers", e.status("drawers", "db", "x")), ("names", e.status("drawer_names")), ("log", e.status("log")["ok"])]
+    out += [("storage", [storage["drawer_count"], storage["status"], storage["data_bytes"] > 0]), ("paths", [c["kind"] for c in checks]), ("there", all(x["exists"] and x["bytes"] > 0 for c in checks for x in c["entries"]))]
+    out += [("refused", [refused(lambda: e.status("path", "db/x/nation/more/yet")), refused(lambda: e.status("weather"))]), ("attached", e.attach("nation", rows, "n_nationkey").status("attached"))]
+    return cases(spark, [*out, ("orphans", e.store.discover().where("collection IS NULL").count())])
+
+
+@query("compact_path", "SELECT 'db/x/nation' AS collection, count(*) AS n, 1 AS folders FROM nation WHERE n_nationkey > 3 UNION ALL SELECT 'db/x/region', count(*), 1 FROM region UNION ALL SELECT 'db/y/nation', count(*), 1 FROM nation")
+def compact_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database's collections are compacted at once: changes become one snapshot each, what is left over goes."""
+    e = Engine(spark, new_engine(spark).store.root, {"merge_share": 1e9, "most_changes": 50, "logging": {"level": "off"}})
+    e.create("db")
+    for schema, names in (("x", ("nation", "region")), ("y", ("nation",))):
+        e.create("db", schema)
+        for name in names:
+            key = STORED[name][0]
+            e.scope(f"db/{schema}").upsert_frame(as_documents(load(spark, sf_dir, name), F.col(key), k=F.col(key)), name)
+    e.scope("db/x").delete(["nation", {"k": {"$lte": 3}}])
+    e.compact("db")
+    rows = [(f"db/{s}/{d}", e.scope(f"db/{s}").count(d), len(e.status("path", f"db/{s}/{d}")["entries"])) for s, d in (("x", "nation"), ("x", "region"), ("y", "nation"))]
+    return spark.createDataFrame(rows, "collection string, n long, folders int")

@@ -358,3 +358,19 @@ def test_archives_take_changes_along(scope, tmp_path, monkeypatch):
         s.upsert({"_id": "1", "v": 3}, "d")
         assert by_id(s, "d")["1"]["v"] == 3
     assert by_id(scope, "d").keys() == {"2"}
+
+
+def test_settings_and_logging(spark, tmp_path):
+    from larkspur.config import Config, Logging
+
+    said = tmp_path / "events.log"
+    (tmp_path / "c.json").write_text(json.dumps({"root": str(tmp_path / "s"), "most_changes": 3, "logging": {"level": "info", "format": "json", "destination": "file", "file": str(said)}}))
+    e = Engine(spark, config=str(tmp_path / "c.json"))
+    assert (e.store.root, e.store.most_changes, e.store.share) == (str(tmp_path / "s"), 3, 0.25)
+    e.create("a")
+    e.create("a")
+    assert [(r["level"], r["message"], r["version"]) for r in map(json.loads, said.read_text().splitlines())] == [("info", "commit", 1), ("info", "commit", 2)]
+    for bad in ({"speed": 1}, {"logging": {"level": "loud"}}, {"logging": {"destination": "file"}}, {"logging": {"colour": 1}}, {"most_changes": 0}, {"merge_share": -1}, {"logging": {"format": "xml"}}):
+        with pytest.raises(InvalidInput):
+            Config.of(bad)
+    assert Config.of().logging == Logging() and Logging(level="warn").logger() is Logging(level="warn").logger()
