@@ -12,8 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _AT = re.compile(r"@([^:]+):(?:lnk_)?([^:]+)", re.S)
-#: The same as Java patterns; the second needs at least two segments before the key.
-AT_PATTERN = r"^@([^:]+):(?:lnk_)?([^:]+)$"
+#: A structural pointer as a Java pattern: at least two segments before the key.
 PATH_PATTERN = r"^([^@:\\/]+(?:/[^@:\\/]+)+)/(?:lnk_)?([^@:\\/]+)$"
 _PATH = re.compile(r"([^@:\\/]+(?:/[^@:\\/]+)+)/(?:lnk_)?([^@:\\/]+)", re.S)
 
@@ -69,18 +68,27 @@ def inferred_collection(field: str) -> str:
     return field
 
 
+def _at(col: Column) -> tuple[Column, Column, Column]:
+    """Whether a text is a pointer with ``@``, its collection and key, by places: patterns are slow on many rows."""
+    colon = F.instr(col, ":")
+    rest = F.substring(col, colon + 1, F.length(col))
+    good = F.startswith(col, F.lit("@")) & (colon > 2) & (rest != "") & (F.instr(rest, ":") == 0)
+    key = F.when(F.startswith(rest, F.lit("lnk_")) & (rest != "lnk_"), F.substring(rest, F.lit(5), F.length(rest))).otherwise(rest)
+    return good, F.substring(col, F.lit(2), colon - 2), key
+
+
 def pointer_key(col: Column) -> Column:
     """The key of a pointer column; other texts as they are."""
-    at = F.regexp_extract(col, AT_PATTERN, 2)
+    good, _, key = _at(col)
     path = F.regexp_extract(col, PATH_PATTERN, 2)
-    return F.when(at != "", at).when(path != "", path).otherwise(col)
+    return F.when(good, key).when(F.startswith(col, F.lit("@")), col).when(path != "", path).otherwise(col)
 
 
 def pointer_collection(col: Column) -> Column:
     """The collection of a pointer column; null for other texts."""
-    at = F.regexp_extract(col, AT_PATTERN, 1)
+    good, collection, _ = _at(col)
     path = F.regexp_extract(col, PATH_PATTERN, 1)
-    return F.when(at != "", at).when(path != "", path)
+    return F.when(good, collection).when(~F.startswith(col, F.lit("@")) & (path != ""), path)
 
 
 def normalized(col: Column, collection: str, namespace: str | None = None) -> Column:

@@ -31,7 +31,7 @@ def kind(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    return kind(value).rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+    return F.substring(kind(value), 1, 3).isin("BIG", "DEC", "DOU", "FLO", "INT", "SMA", "TIN")
 
 
 def is_integer(value: Column) -> Column:

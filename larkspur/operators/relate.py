@@ -165,12 +165,13 @@ def substitute(value: object, records: dict[str, dict], excluded: frozenset[str]
     return value
 
 
-def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude: list[str] | None = None, with_ids: bool = True, depth: int | None = None) -> DataFrame:
+def hydrate_documents(df: DataFrame, collection: str, every: Callable[[list[str]], DataFrame | None], exclude: list[str] | None = None, with_ids: bool = True, depth: int | None = None) -> DataFrame:
     """Documents (_id, _seq, doc) with their references resolved, all or to ``depth``.
 
-    ``every`` has (pointer, doc) of all collections that may be referred to.
-    Each level joins the pointers that are open with it once, whichever
-    collections they lead to; a record's tree is then put together where it is.
+    ``every`` gives (pointer, doc) of the named collections, None if none of
+    them is there.  Each level joins the pointers that are open once with the
+    collections they lead to, and reads no others; a record's tree is then put
+    together where it is.
     References to missing records, and back to a record on the way, stay text.
     Levels are kept as they are reached, until one opens no new pointer.
     """
@@ -181,8 +182,12 @@ def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude:
     found = None
     seen = frontier = checkpointed(frontier)
     level = 0
-    while found is None or (depth is None or level < depth) and not frontier.isEmpty():
-        got = frontier.join(every, "pointer").select("_id", "pointer", F.col("doc"))
+    while depth is None or level < depth:
+        names = [r[0] for r in frontier.select(P.pointer_collection(F.col("pointer"))).distinct().collect()]  # collections
+        targets = every(names) if names else None
+        if targets is None:
+            break
+        got = frontier.join(targets, "pointer").select("_id", "pointer", F.col("doc"))
         got = checkpointed(got.select("_id", "pointer", V.text(F.col("doc")).alias("text"))).withColumn("doc", F.parse_json("text"))
         part = got.select("_id", F.struct("pointer", "text").alias("hit"))
         found = part if found is None else found.unionByName(part)
@@ -191,6 +196,8 @@ def hydrate_documents(df: DataFrame, collection: str, every: DataFrame, exclude:
             opened = got.select("_id", F.explode(_pointer_column(F.col("doc"), frozenset(e for e in excluded if "." not in e))).alias("pointer")).distinct()
             frontier = checkpointed(opened.join(seen, ["_id", "pointer"], "left_anti"))
             seen = seen.unionByName(frontier)
+    if found is None:
+        return df
     lists = found.groupBy(F.col("_id").alias("_row")).agg(F.to_json(F.map_from_entries(F.collect_set("hit"))).alias("_hits"))
     met = df.join(lists, df["_id"] == F.col("_row"), "left")
 

@@ -117,8 +117,9 @@ class Document:
     def is_kind(self, name: str) -> Column:
         if name == "number":
             return V.is_number(self.value)
-        pattern = {"null": "^VOID$", "bool": "^BOOLEAN$", "string": "^STRING$", "array": "^ARRAY<", "object": "^OBJECT<"}[name]
-        return V.kind(self.value).rlike(pattern)
+        if name in ("array", "object"):
+            return F.startswith(V.kind(self.value), F.lit(f"{name.upper()}<"))
+        return V.kind(self.value) == {"null": "VOID", "bool": "BOOLEAN", "string": "STRING"}[name]
 
     def scalar(self, name: str) -> Column:
         return V.as_type(self.value, {"number": "double", "string": "string", "bool": "boolean"}[name])
@@ -177,7 +178,10 @@ class Compiler:
         actual = self.resolve(path)
         if actual is None:
             return F.lit(False)
-        return actual.present() & self._matches(path, actual, expected)
+        found = self._matches(path, actual, expected)
+        # Kinds are told apart by looking at the value, which tells that it is there too.
+        guarded = isinstance(actual, Document) and not (isinstance(expected, dict) and expected.keys() & {"$ne", "$in"} or expected == {})
+        return found if guarded else actual.present() & found
 
     def _target(self, path: str) -> str:
         if path == "_id":

@@ -241,13 +241,16 @@ class Scope:
         if opts.hydrate is False:
             return df
         excluded = opts.exclude_hydration or []
-        every = None
-        for drawer, entry in drawers.items():
-            if entry["path"]:
-                part = self.store.read(entry).select(F.concat(F.lit(f"@{drawer}:"), F.col("_id")).alias("pointer"), "doc")
-                every = part if every is None else every.unionByName(part)
-        if every is None:
-            return df
+
+        def every(names: list[str]) -> DataFrame | None:
+            out = None
+            for drawer in names:
+                entry = drawers.get(drawer)
+                if entry and entry["path"]:
+                    part = self.store.read(entry).select(F.concat(F.lit(f"@{drawer}:"), F.col("_id")).alias("pointer"), "doc")
+                    out = part if out is None else out.unionByName(part)
+            return out
+
         meta = drawers.get(name, {"meta": new_meta()})["meta"]
         for f, rule in meta["relationships"].items():
             if rule.get("type") == "1:M" and rule.get("mapped_by") and f not in excluded:
