@@ -106,17 +106,6 @@ def closure(
     return doomed, emptied.join(doomed, ["drawer", "_id"], "left_anti").distinct()
 
 
-def cascade_ids(start: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node): everything that is reached from ``start`` along edges (parent, child)."""
-    seen = frontier = keep(start.select("node").distinct())
-    while True:
-        step = edges.join(frontier, edges["parent"] == frontier["node"], "left_semi").select(F.col("child").alias("node")).distinct()
-        frontier = keep(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = keep(seen.unionByName(frontier))
-
-
 def emptied_value(value: object, gone: set[str]) -> object | None:
     """A field without pointers that are gone: None if nothing is left; objects stay as they are."""
     if isinstance(value, str):

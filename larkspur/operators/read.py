@@ -208,8 +208,21 @@ def edit_documents(df: DataFrame, doc: str, edit, *more: str) -> DataFrame:
     return df.withColumn(doc, F.parse_json(text))
 
 
+def document_fields(df: DataFrame, doc: str, names: list[str], exclusive: bool) -> DataFrame:
+    """Documents with only the fields ``names``, or without them, all in built-in functions."""
+    if exclusive:
+        every = F.try_variant_get(F.col(doc), "$", "map<string,variant>")
+        kept = F.map_filter(every, lambda k, v: ~k.isin(names))
+    else:
+        entries = [x for n in dict.fromkeys(names) for x in (F.lit(n), V.get(F.col(doc), [n]))]
+        kept = F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull())
+    return df.withColumn(doc, F.to_variant_object(kept))
+
+
 def _projected_documents(df: DataFrame, projection: list[str], doc: str) -> DataFrame:
     exclusive, paths = _split(projection)
+    if not any("." in p for p in paths):
+        return document_fields(df, doc, paths if exclusive else ["_id", *paths], exclusive)
     return edit_documents(df, doc, lambda value, _: prune_value(value, exclusive, paths))
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.errors import InvalidInput
 from larkspur.functions import pointers as P
 from larkspur.functions import variants as V
 from larkspur.operators.read import edit_documents
@@ -114,10 +115,13 @@ def referring(children: DataFrame, field: str, parents: DataFrame, key: str = "_
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder; a session without one gets a temporary folder."""
+    """``df`` in the shared checkpoint folder; only a single process without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise InvalidInput("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspur-"))
     return df.checkpoint()
 
 

@@ -5,7 +5,6 @@ Every query goes through the engine's own operators; results are flat columns.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -392,14 +391,6 @@ def delete_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GONE = "(SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))"
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder; a session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
-    return df.checkpoint()
-
-
 @query("delete_cascade", f"SELECT 'nation' AS collection, count(*) AS n FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey NOT IN {_GONE} UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN {_GONE}")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region's deletion goes on to its nations, their customers and their orders, by delete rules."""
@@ -411,7 +402,7 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = F.col(KEYS[rule.child]).cast("string")
         return rules[rule].select(F.lit(rule.parent).alias("parent_drawer"), F.col(rule.field).cast("string").alias("parent_id"), F.lit(rule.child).alias("child"), key.alias("child_id"))
 
-    doomed, _ = delete.closure(spark, spark.createDataFrame([("region", "1")], delete.NODE), list(rules), edges, _checkpointed)
+    doomed, _ = delete.closure(spark, spark.createDataFrame([("region", "1")], delete.NODE), list(rules), edges, relate.checkpointed)
     out = None
     for name, rows in tables.items():
         gone = doomed.where(F.col("drawer") == name).select(F.col("_id").alias("_gone"))

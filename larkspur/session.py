@@ -11,7 +11,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
@@ -31,12 +30,22 @@ from larkspur.sources.store import Store, new_entry, new_meta
 KINDS = ("index", "key", "constraint", "trigger", "relationship", "cascade-delete", "timestamp")
 
 
-@dataclass
 class Upserted:
-    """Pointers of the records of a request, in its order."""
+    """What a request stored: pointers in its order.
 
-    pointers: list[str]
-    created: bool = field(default=True)
+    Those of a query's changes, which may be very many, are a frame (pointer,
+    place), held by the store until its next collection of garbage; asking for
+    ``pointers`` brings them to the driver.
+    """
+
+    def __init__(self, pointers: list[str] | None = None, created: bool = True, frame: DataFrame | None = None):
+        self._pointers, self.created, self.frame = pointers, created, frame
+
+    @property
+    def pointers(self) -> list[str]:
+        if self._pointers is None:
+            self._pointers = [r[0] for r in self.frame.orderBy("place").select("pointer").collect()]
+        return self._pointers
 
 
 class Engine:
@@ -266,6 +275,8 @@ class Scope:
         hidden = {h for h in meta["hidden"] if h not in shown} | (set() if keep_id else {"_id"})
         if not hidden:
             return df
+        if hidden == {"_id"}:
+            return read.document_fields(df, "doc", ["_id"], True)
 
         def strip(value: Any, _: Any = None, top: bool = True) -> Any:
             if isinstance(value, dict):
@@ -330,9 +341,10 @@ class Scope:
         with self._work() as keep:
             changed = read.edit_documents(df, "doc", lambda value, _: {**value, **changes})
             staged = keep(changed.select(F.lit(name).alias("drawer"), "_id", F.col("_seq").alias("pos"), "doc"))
-            pointers = [P.format_pointer(name, r[0]) for r in staged.orderBy("pos").select("_id").collect()]  # the request's result
             self._commit(staged, keep)
-        return Upserted(pointers, False)
+            path = f"{self.store.root}/_results/{uuid.uuid4().hex}"
+            staged.select(P.pointer_to(name, F.col("_id")).alias("pointer"), F.col("pos").alias("place")).write.parquet(path)
+        return Upserted(created=False, frame=self.spark.read.schema("pointer string, place long").parquet(path))
 
     def _store(self, records: list[dict], drawer: str | None) -> list[str]:
         drawers = self._state()[1]

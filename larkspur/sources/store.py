@@ -230,6 +230,7 @@ class Store:
         Those made from the current version stay: their writer may yet commit.
         Whoever wrote from an older one can't.
         """
+        self.files.delete(f"{self.root}/_results")
         m = self.manifest()
         named = {p for schemas in m["databases"].values() for drawers in schemas.values() for e in drawers.values() for p in paths_of(e)}
         gone = []

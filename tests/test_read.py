@@ -84,3 +84,22 @@ def test_joins_of_references(spark):
     kids = relate.virtual_children(people, "person", posts, "who", "posts", F.struct(F.col("_id").alias("k")))
     assert {r._id: [x.k for x in r.posts] for r in kids.collect()} == {"1": ["p"], "2": []}
     assert sorted(r.parent for r in relate.edges(posts, "post", "liked").collect()) == ["@person:2", "@person:9"]
+
+
+def test_document_projection_in_both_ways(spark):
+    """Fields at the top go without Python; paths inside go through it: both give the same."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import read
+
+    texts = ['{"_id":"1","a":1.0,"b":{"c":[1,2.50]},"d":null}', '{"a":"x"}', "{}", '{"_id":"4","d":[{"a":1}]}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("doc"))
+    for projection in (["a"], ["d", "b", "zz"], ["-a"], ["!b", "-_id"], ["-zz"]):
+        exclusive, paths = read._split(projection)
+        want = [read.prune_value(json.loads(t), exclusive, paths) for t in texts]
+        got = [json.loads(r[0]) for r in read.projected(rows, projection, "doc").select(F.to_json("doc")).collect()]
+        assert got == want
+    kinds = read.projected(rows, ["a"], "doc").select(F.schema_of_variant(F.variant_get("doc", "$.a", "variant"))).first()[0]
+    assert kinds.startswith("DECIMAL")

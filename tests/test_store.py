@@ -374,3 +374,10 @@ def test_settings_and_logging(spark, tmp_path):
         with pytest.raises(InvalidInput):
             Config.of(bad)
     assert Config.of().logging == Logging() and Logging(level="warn").logger() is Logging(level="warn").logger()
+
+
+def test_pointers_of_a_query_come_when_asked(scope):
+    scope.upsert([{"_id": c, "v": 1} for c in "cab"], "d")
+    done = scope.upsert({"w": 2}, ["d", {"v": 1}], multi=True)
+    assert done.frame.count() == 3 and done.pointers == ["@d:c", "@d:a", "@d:b"] and not done.created
+    assert scope.upsert({"w": 3}, ["d", {"v": 9}]).created
