@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 _SCRATCH: list[list[str]] = []
+_FOLDERS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,13 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path for one written table in the shared folder."""
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark).rstrip('/')}/larkspur-{app}/{tag}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_dir(spark).rstrip('/')}/larkspur-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        atexit.register(_leave, at, spark.sparkContext._jsc.hadoopConfiguration())
+    path = f"{folder}/{tag}-{uuid.uuid4().hex[:12]}"
     for made in _SCRATCH[-1:]:
         made.append(path)
     return path
 
 
+def _leave(folder, configuration) -> None:
+    """Deletes an application's intermediate tables when the driver's process ends."""
+    with suppress(Exception):  # the JVM or the storage may be gone by then
+        folder.getFileSystem(configuration).delete(folder, True)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
