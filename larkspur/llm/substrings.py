@@ -1,13 +1,14 @@
 """Substring dedup: repeated word windows, found by level-wise doubling.
 
 Windows of ``length`` words that start earlier in the corpus as well are
-removed.  A window repeats only if its halves do, so the first level looks at
-half the length, and there only at one sample for each full window: the
-smallest hash among the half-length windows within it, which equal full
-windows share.  Full windows whose sample repeats are the candidates of the
-next level, where they are compared by 128 bits: 64 of one hash of all their
-words, and 64 of the sample by another, independent one.  Longer windows cannot
-add to what is covered, so doubling stops at ``length``.
+removed.  A window repeats only if its halves do, so each level looks at half
+the length of the next one, and there only at one sample for each window of the
+next: the smallest hash among the half-length windows within it, which equal
+windows share.  Windows whose sample repeats are the candidates of the next
+level; without any the search is over.  At ``length`` they are compared by 128
+bits: 64 of one hash of all their words, and 64 of the sample by another,
+independent one.  Longer windows cannot add to what is covered, so doubling
+stops there.
 
 Within an Arrow batch the earliest of equal windows stands for all and the
 others are known to be later copies; what repeated in a batch is remembered by
@@ -83,21 +84,47 @@ def _without(rows: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "key", how)
 
 
-def _first_level(rows: DataFrame, length: int) -> DataFrame:
-    """(key, repeated array): per document the samples that repeat somewhere."""
+def levels(length: int, start: int) -> list[int]:
+    """Window sizes from about ``start`` words up to ``length``, each (about) half the next; two at least."""
+    sizes = [(length + 1) // 2, length]
+    while sizes[0] > start:
+        sizes.insert(0, (sizes[0] + 1) // 2)
+    return sizes
+
+
+def _candidates(words: np.ndarray, repeated: np.ndarray, before: int, size: int) -> np.ndarray:
+    """Which windows of ``size`` have a sample, of ``before`` words, among those that repeat."""
+    least = slide(np.minimum, windows(words, before), size - before + 1)
+    wanted = np.sort(repeated)
+    return wanted[_found(wanted, least)] == least
+
+
+def _level(rows: DataFrame, before: int, size: int, span: int) -> DataFrame:
+    """(key, repeated array): per document the samples of ``size`` words, one for each window of ``span``, that repeat somewhere.
+
+    ``rows`` has key and text; from the second level on also ``repeated``, what
+    repeats of ``before`` words, and only windows made of candidates count.
+    """
+    names = ["key", "text"] + ["repeated"] * bool(before)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)  # hashes that repeated in a batch of this task
         for batch in slices(batches, 1):
             hashes, keys, often = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            known_before = batch.column(2) if before else [None] * batch.num_rows
+            for key, text, repeated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known_before, strict=True):
                 words = _hashed(text or "")
-                if len(words) < length:
+                if len(words) < span:
+                    continue
+                small = windows(words, size)
+                least = slide(np.minimum, small, span - size + 1)
+                if before:
+                    good = _candidates(words, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64), before, size)
+                    least = np.where(slide(np.minimum, good, span - size + 1), least, np.uint64(0))
+                chosen = _chosen(small, least)
+                if not len(chosen):
                     continue
-                half = (length + 1) // 2
-                small = windows(words, half)
-                least = slide(np.minimum, small, length - half + 1)
-                own, n = np.unique(_chosen(small, least), return_counts=True)
+                own, n = np.unique(chosen, return_counts=True)
                 hashes.append(own)
                 often.append(n)
                 keys.append(np.full(len(own), key))
@@ -126,7 +153,7 @@ def _first_level(rows: DataFrame, length: int) -> DataFrame:
             known = [np.unique(x).view(np.int64) for x in np.split(h, cuts)] if len(k) else []
             yield pa.RecordBatch.from_arrays([pa.array(mix64(docs.astype(np.uint64)).view(np.int64)), pa.array(docs, pa.int64()), pa.array(known, pa.list_(pa.int64()))], ["h", "key", "known"])
 
-    rows = rows.select("key", "text").mapInArrow(emit, "h long, key long, known array<long>")
+    rows = rows.select(*names).mapInArrow(emit, "h long, key long, known array<long>")
     same = Window.partitionBy("h")
     rows = rows.withColumn("n", F.count(F.when(F.col("known").isNull(), 1)).over(same))
     rows = rows.where("known IS NOT NULL OR n > 1")
@@ -152,7 +179,7 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack([first, last - first + 1], 1).ravel().astype(np.int32)
 
 
-def _second_level(rows: DataFrame, length: int) -> DataFrame:
+def _last_level(rows: DataFrame, length: int) -> DataFrame:
     """(key, single array, known array): starts of full windows that begin earlier too.
 
     ``rows`` has key, text and repeated.  ``known`` holds pairs (start, count).
@@ -164,9 +191,9 @@ def _second_level(rows: DataFrame, length: int) -> DataFrame:
         for batch in slices(batches, 1):
             parts = []
             for key, text, repeated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                least = samples(_hashed(text), length)
-                wanted = np.sort(repeated.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)] == least)
+                words = _hashed(text)
+                least = samples(words, length)
+                at = np.flatnonzero(_candidates(words, repeated.values.to_numpy(zero_copy_only=False).view(np.uint64), (length + 1) // 2, length))
                 if len(at):
                     parts.append((least[at], windows(_hashed(text, 1), length)[at], np.full(len(at), key), at))
             if not parts:
@@ -227,13 +254,14 @@ def covered(n_words: int, length: int, single, known) -> np.ndarray:
     return np.cumsum(edge)[:n_words] > 0
 
 
-def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_id: str = "doc_id", start: int = 10) -> DataFrame:
     """Every row with its later windows: (doc_id, text, copy, single, known).
 
     ``copy`` marks a whole text that a smaller id has too: all its windows
     start earlier, so it takes no part in the search.  Null texts have no
     words.  Rows whose id repeats or lacks are documents of their own, in the
-    order of (id, text).
+    order of (id, text).  The first level looks at windows of at most ``start``
+    words, or of half the length if that is less.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = keyed(rows, "text", "doc_id", "key")
@@ -244,9 +272,15 @@ def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_
     copies = stored(copies, "copies")
     n_copies = copies.count()
     texts = _without(rows, copies, n_copies, "left_anti")
-    candidates = stored(_first_level(texts, length), "candidates")
-    n_candidates = candidates.count()
-    later = _second_level(_without(texts, candidates.select("key"), n_candidates, "left_semi").join(candidates, "key"), length)
+    sizes = levels(length, start)
+    left = texts
+    for before, size, span in zip([0, *sizes], sizes, sizes[1:], strict=False):
+        found = stored(_level(left, before, size, span), f"candidates-{size}")
+        n = found.count()
+        left = _without(texts, found.select("key"), n, "left_semi").join(found, "key")
+        if not n:
+            break
+    later = _last_level(left, length)
     later = stored(later, "later-windows")
     n_later = later.count()
     ids = later.select("key")
@@ -257,7 +291,7 @@ def repeated_windows(docs: DataFrame, length: int = 20, text: str = "text", doc_
     return plain.unionByName(cut).unionByName(same)
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", doc_id: str = "doc_id", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", doc_id: str = "doc_id", texts: bool = False, start: int = 10) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and on request ``kept``, the words left.
 
     Kept words are joined by one space.  Null and empty texts have no words;
@@ -284,5 +318,5 @@ def remove_repeats(docs: DataFrame, length: int = 20, text: str = "text", doc_id
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    marked = repeated_windows(docs, length, text, doc_id).select("doc_id", "text", "copy", "single", "known")
+    marked = repeated_windows(docs, length, text, doc_id, start).select("doc_id", "text", "copy", "single", "known")
     return stored(marked.mapInArrow(cut, schema), "without-repeats")

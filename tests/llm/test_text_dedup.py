@@ -145,3 +145,12 @@ def test_words_that_a_polynomial_cannot_tell_apart():
     for seed in (20, 21):
         hashes = WordHasher(seed).words(f"{one} {other} short shorter {one}".encode())[2]
         assert len(set(hashes.tolist())) == 4 and hashes[0] == hashes[4]
+
+
+@pytest.mark.parametrize("length,start,sizes", [(20, 10, [10, 20]), (20, 5, [5, 10, 20]), (20, 2, [2, 3, 5, 10, 20]), (7, 10, [4, 7]), (13, 3, [2, 4, 7, 13])])
+def test_levels_lead_to_the_same_windows(spark, length, start, sizes):
+    assert substrings.levels(length, start) == sizes
+    rows = corpus(length + start)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.remove_repeats(docs, length, start=start).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_windows(rows, length)
