@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -310,13 +309,13 @@ def score_column(docs: DataFrame, model: Model, text: str = "text", name: str =
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = sent.value.tables()
         for batch in batches:
-            texts = batch.tolist()
-            parts = [scores(sent.value, texts[at : at + 1000], tables) for at in range(0, len(texts), 1000)]
-            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
+            parts = slices([pa.RecordBatch.from_arrays([batch], ["text"])], 0)
+            found = [scores(sent.value, part.column(0).to_pylist(), tables) for part in parts]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
 
     return docs.withColumn(name, score(F.col(text).cast("string")))
 
