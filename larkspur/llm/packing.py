@@ -314,7 +314,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, text: s
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own_encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, encoder(tokenizer_path))
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 1, 10_000):
+        for batch in slices(batches, 1, 10_000, 8 << 20):
             columns: list[list] = [[] for _ in names]
             ids = own_encoder.texts([t or "" for t in batch.column(1).to_pylist()])
             for doc, data in zip(batch.column(0).to_pylist(), ids, strict=True):
