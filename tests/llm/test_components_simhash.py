@@ -112,3 +112,25 @@ def test_all_pairs_of_a_large_bucket_are_compared(spark, lead):
     near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 43]
     assert roots(range(len(fps)), got) == roots(range(len(fps)), near)
     assert len(set(roots(range(len(fps)), near).values())) > 100
+
+
+def test_near_copies_recall_against_brute_force(spark):
+    """Of all pairs with a Jaccard similarity of 0.8 or more at least nine in ten share a group; unlike texts don't."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts, family = [], []
+    for f in range(60):
+        base = [word() for _ in range(rng.randrange(120, 300))]
+        texts.append(base)
+        for edits in (1, 2, 3, 4):
+            copy = base[:]
+            for at in rng.sample(range(len(base)), edits):
+                copy[at] = word()
+            texts.append(copy)
+        family += [f] * 5
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if family[i] == family[j] and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert len(near) > 300 and sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    assert all(family[i] == family[c] for i, c in got.items())

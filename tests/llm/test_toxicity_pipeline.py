@@ -135,3 +135,18 @@ def test_stages_leave_columns_of_any_name(spark, tmp_path):
         rows = out.collect()
         assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
     assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where("piece = 0").count() == 300
+
+
+def test_each_language_has_a_threshold(monkeypatch):
+    rng = np.random.default_rng(4)
+    spoken = np.array([0] * 60 + [1] * 40 + [2] * 30 + [3] * 5)
+    labels = np.array(([0, 1] * 100)[:130] + [0] * 5)
+    scores = labels * 2.0 + spoken * 1.5 + rng.normal(size=len(labels)) * 0.1
+    monkeypatch.setattr(toxicity, "logits", lambda model, tables, texts: scores)
+    monkeypatch.setattr(toxicity, "language", lambda text: int(text[0]))
+    model = toxicity.calibrate(toxicity.new_model(), [[s] for s in spoken], labels, weight=10)
+    every = toxicity._threshold(scores, labels)
+    for i, n in ((0, 30), (1, 20), (2, 15)):
+        own = toxicity._threshold(scores[spoken == i], labels[spoken == i])
+        assert abs(own - (1 + 1.5 * i)) < 0.5 and model.shift[i] == pytest.approx((n * own + 10 * every) / (n + 10))
+    assert model.shift[3] == every  # no row of one of its classes
