@@ -63,6 +63,9 @@ def paths_of(entry: dict | None) -> list[str]:
 class Store:
     """One root folder with its manifests, snapshots and registries."""
 
+    #: Manifests that stay when garbage is collected: older ones only make finding the last one slow.
+    kept_manifests = 100
+
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         config = config or Config()
@@ -225,13 +228,16 @@ class Store:
         return path
 
     def collect_garbage(self) -> list[str]:
-        """Delete snapshots that the manifest does not name.
+        """Delete snapshots that the manifest does not name, and old manifests.
 
         Those made from the current version stay: their writer may yet commit.
         Whoever wrote from an older one can't.
         """
         self.files.delete(f"{self.root}/_results")
         m = self.manifest()
+        for name in self.files.names(f"{self.root}/_manifest"):
+            if re.fullmatch(r"\d{10}\.json", name) and int(name[:10]) <= m["version"] - self.kept_manifests:
+                self.files.delete(f"{self.root}/_manifest/{name}")
         named = {p for schemas in m["databases"].values() for drawers in schemas.values() for e in drawers.values() for p in paths_of(e)}
         gone = []
         for name in self.files.names(f"{self.root}/data"):
@@ -321,7 +327,8 @@ class Store:
         """Whether manifests follow one another without a gap and the last one's folders are all there."""
         versions = [int(n[:10]) for n in self.files.names(f"{self.root}/_manifest") if re.fullmatch(r"\d{10}\.json", n)]
         lost = [p for db in self.manifest()["databases"].values() for x in db.values() for e in x.values() for p in paths_of(e) if not self.files.exists(f"{self.root}/{p}")]
-        return {"versions": len(versions), "gapless": versions == list(range(1, len(versions) + 1)), "lost": lost, "ok": versions == list(range(1, len(versions) + 1)) and not lost}
+        gapless = versions == list(range(versions[0], versions[-1] + 1)) if versions else True
+        return {"versions": len(versions), "gapless": gapless, "lost": lost, "ok": gapless and not lost}
 
     def show(self, what: str, *at: str) -> Any:
         """One part of the status: tenants, databases, schemas, drawers, drawer_names, storage, log, or a path's check."""

@@ -238,6 +238,9 @@ def test_garbage_leaves_what_may_yet_be_committed(scope):
     assert path not in scope.store.collect_garbage()
     scope.upsert({"_id": "2"}, "d")
     assert path in scope.store.collect_garbage() and scope.count("d") == 2
+    scope.store.kept_manifests = 2
+    scope.store.collect_garbage()
+    assert len(scope.store.files.names(f"{scope.store.root}/_manifest")) == 2 and scope.store.verify()["ok"] and scope.count("d") == 2
 
 
 def test_requests_have_work_folders_of_their_own(scope):
